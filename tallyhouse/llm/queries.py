@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.llm.near_dedup import op8_near_dedup
 from tallyhouse.llm.packing import op5_packing
 from tallyhouse.llm.token_files import op10_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op10_token_files)}
+    return {f.__name__: f for f in (op5_packing, op8_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
