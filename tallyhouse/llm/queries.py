@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyhouse.llm.language_id import op1_language_id
 from tallyhouse.llm.near_dedup import op8_near_dedup
 from tallyhouse.llm.packing import op5_packing
+from tallyhouse.llm.quality_rules import op6_quality_rules
 from tallyhouse.llm.token_files import op10_token_files
 from tallyhouse.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_packing, op8_near_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_packing, op6_quality_rules, op8_near_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
