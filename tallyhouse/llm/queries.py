@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.llm.chat_format import OP9_SQL, op9_chat_format
+from tallyhouse.llm.html_text import op7_html_text
 from tallyhouse.llm.language_id import op1_language_id
 from tallyhouse.llm.mixing import OP4_SQL, op4_mixing
 from tallyhouse.llm.near_dedup import op8_near_dedup
@@ -17,7 +18,7 @@ from tallyhouse.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_mixing, op5_packing, op6_quality_rules, op8_near_dedup, op9_chat_format, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_mixing, op5_packing, op6_quality_rules, op7_html_text, op8_near_dedup, op9_chat_format, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
