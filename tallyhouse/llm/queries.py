@@ -15,10 +15,11 @@ from tallyhouse.llm.packing import op5_packing
 from tallyhouse.llm.quality_rules import op6_quality_rules
 from tallyhouse.llm.token_files import op10_token_files
 from tallyhouse.llm.toxicity import op3_toxicity
+from tallyhouse.llm.vector_search import op2_vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_mixing, op5_packing, op6_quality_rules, op7_html_text, op8_near_dedup, op9_chat_format, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_vector_search, op3_toxicity, op4_mixing, op5_packing, op6_quality_rules, op7_html_text, op8_near_dedup, op9_chat_format, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
