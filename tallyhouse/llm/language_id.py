@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +138,18 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
+    """All columns of docs with _lang and _score, predicted in place, so that nothing is joined."""
+    known = Profiles(profiles)
+
+    @F.pandas_udf("lang string, score double")
+    def guess(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([known.predict(t) for t in texts], columns=["lang", "score"])
+
+    rows = docs.withColumn("_guess", guess(F.col("text").cast("string")))
+    return rows.withColumn("_lang", F.col("_guess.lang")).withColumn("_score", F.col("_guess.score")).drop("_guess")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
