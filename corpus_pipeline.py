@@ -1,13 +1,68 @@
-"""Stages that turn documents into packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result to
+the shared folder and gives it, read again, to the next. All stages but the last return the columns
+of documents. Columns that a document table has besides are carried along.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from tallyhouse.llm import language_id, mixing, near_dedup, packing, quality_rules
+from tallyhouse.llm.common import id_crc, staged, table
+
+#: Least score at which a document's predicted language counts as told.
+LEAST_LANGUAGE_SCORE = 0.05
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that many documents of their source share."""
+    return quality_rules.cleaned(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told, with it as their lang; those without letters or a near profile go.
+
+    Profiles are learned from the documents' own languages, but for the fourth of ids that is held out.
+    """
+    learned = language_id.learn(docs.where("doc_id IS NOT NULL").where(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2))
+    known = language_id.with_language(docs, learned)
+    told = known.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
+    return told.select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class (five-word shingles, similarity 0.8), the one with the smallest id."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept._id), "left_semi")
+    # Rows of one id are one document; of those without an id each stays.
+    order = W.Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.monotonically_increasing_id()))).orderBy(F.xxhash64("text"))
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their sources' target weights, in a random order of the whole."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its sequence and offset."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).placements.drop("part", "row")
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]
+
+#: Language profiles, signatures and packing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
