@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.llm import language_id, mixing, near_dedup, packing, quality_rules
-from tallyhouse.llm.common import id_crc, staged, table
+from tallyhouse.llm.common import id_crc, small, staged, table
 
 #: Least score at which a document's predicted language counts as told.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -36,11 +36,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class (five-word shingles, similarity 0.8), the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept._id), "left_semi")
-    # Rows of one id are one document; of those without an id each stays.
-    order = W.Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.monotonically_increasing_id()))).orderBy(F.xxhash64("text"))
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    found = staged(near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "classes")
+    same = lambda ids: docs["doc_id"].cast("long") == ids["_id"]
+    # Most documents stay, so those that go and the ids that are repeated are the smaller tables to meet.
+    gone = small(staged(found.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_id")), "gone"))
+    repeated = small(staged(found.where("kept AND n > 1").select(F.col("doc_id").alias("_id")), "repeated"))
+    # Rows of one id are one document.
+    order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = docs.join(repeated, same(repeated), "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return docs.join(gone, same(gone), "left_anti").union(first)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
