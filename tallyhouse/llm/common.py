@@ -49,6 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a small table that are sent to every executor at most; with narrow rows, some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it is counted to have few rows; else it is joined by a shuffle."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id written as text."""
     return F.crc32(doc_id.cast("string"))

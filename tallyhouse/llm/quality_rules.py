@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import staged, table
+from tallyhouse.llm.common import small, staged, table
 
 #: White space that parts words.
 SPACE = " \\t\\n\\x0B\\f\\r"
@@ -134,6 +134,8 @@ def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The kept documents with all their columns; frequent lines are gone from their texts, and n_chars follows."""
     acted = _judged_rows(docs, rules).where("NOT kept OR removed_lines IS NOT NULL")
     acted = acted.groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).agg(F.min("kept").alias("_kept"), F.first("removed_lines").alias("_lines"))
+    # Texts aren't shuffled while the documents that lose lines or go are few.
+    acted = small(staged(acted, "acted"))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     same = docs["doc_id"].cast("long").eqNullSafe(acted._doc) & docs["source"].cast("string").eqNullSafe(acted._host) & (key == acted._key)
     rows = docs.join(acted, same, "left").where(F.coalesce("_kept", F.lit(True)))
