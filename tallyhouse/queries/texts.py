@@ -1 +1,104 @@
-"""Queries."""
+"""Queries over passages, markup, names and dates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyhouse.functions import periods, text
+from tallyhouse.operators import passages
+from tallyhouse.plans.registry import query
+from tallyhouse.sources.tables import read
+
+
+def sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as sections whose lines are paragraphs."""
+    rows = read(spark, folder, "documents")
+    return rows.select("doc_id", F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "").alias("paragraphs"))
+
+
+@query("R9_R10_chunks")
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.chunked(sections(spark, folder), ["doc_id"])
+
+
+@query("R14_X6_chunk_conservation", """WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '') AS p FROM documents)
+SELECT count(*)::BIGINT AS sections, (count(*) FILTER (len(p) > 0))::BIGINT AS with_chunks, 0::BIGINT AS lost_words, 0::BIGINT AS over_limit FROM s""")
+def conservation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of a section is in its chunks, and no chunk is longer than the most and the merged overlap allow."""
+    rules = passages.ChunkRules()
+    made = passages.chunked(sections(spark, folder), ["doc_id"], rules=rules)
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    own = sections(spark, folder).select("doc_id", words(F.array_join("paragraphs", " ")).alias("w"))
+    got = made.groupBy("doc_id").agg(F.flatten(F.collect_list(words(F.col("text")))).alias("g"), F.count_if(F.col("words") > rules.most + rules.overlap).alias("over"))
+    both = own.join(got, "doc_id", "left")
+    return both.agg(F.count("*").alias("sections"), F.count("g").alias("with_chunks"), F.coalesce(F.sum(F.size(F.array_except("w", F.coalesce("g", F.array().cast("array<string>"))))).cast("long"), F.lit(0)).alias("lost_words"), F.coalesce(F.sum("over"), F.lit(0)).alias("over_limit"))
+
+
+@query("R7_children")
+def children(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.with_children(read(spark, folder, "documents"), "doc_id")
+
+
+@query("F17_sentence_counts")
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", passages.sentence_count("text").alias("sentences"))
+
+
+@query("F18_sentence_split", r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+[A-Z0-9]')) + 1 AS sentences FROM documents WHERE text IS NOT NULL")
+def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.size(text.sentences("text")).cast("long").alias("sentences"))
+
+
+@query("R11_sections")
+def page_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.sectioned(read(spark, folder, "pages"), "page_id", "html").select("page_id", "nth", "title", F.array_join("paragraphs", "\n").alias("text"))
+
+
+@query("F11_slugs", "SELECT p_partkey, coalesce(nullif(left(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_'), 48), ''), 'section') AS slug FROM part")
+def slugs(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "part").select("p_partkey", text.slug("p_type").alias("slug"))
+
+
+@query("F10_text_hashes", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+def text_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("F6_F24_normalised_names", "SELECT p_partkey, trim(regexp_replace(lower(nfc_normalize(p_name)), '\\s+', ' ', 'g')) AS name FROM part")
+def normalised_names(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "part").select("p_partkey", text.normalised("p_name").alias("name"))
+
+
+@query("F27_redaction", """SELECT doc_id, contains(t, '[redacted]') AS redacted FROM (SELECT doc_id, regexp_replace(text, '(?i)\\b((?:api[_-]?key|token|secret|password)\\s*[=:]\\s*)"?[^\\s",;]+"?', '\\1[redacted]', 'g') AS t FROM documents)""")
+def redaction(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", F.contains(text.redacted("text"), F.lit("[redacted]")).alias("redacted"))
+
+
+@query("F19_F20_periods", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE d END AS first_date, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN d ELSE strftime(o_orderdate + INTERVAL 9 DAYS, '%Y-%m-%d') END AS last_date,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'reversed_date_range' ELSE 'none' END AS error, CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 2 END AS dates FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""")
+def named_periods(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "orders")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    a, b, n = day("o_orderdate"), day(F.expr("o_orderdate + INTERVAL 9 DAYS")), F.col("o_orderkey") % 4
+    said = F.when(n == 0, F.concat(b, F.lit(" - "), a)).when(n == 1, F.concat(F.lit("on "), a)).otherwise(F.concat(F.lit("from "), a, F.lit(" ~ "), b))
+    rows = rows.select("o_orderkey", said.alias("q"))
+    rows = rows.withColumn("p", periods.period("q"))
+    return rows.select("o_orderkey", "p.first_date", "p.last_date", F.coalesce("p.error", F.lit("none")).alias("error"), F.size(periods.full_dates("q")).alias("dates"))
+
+
+@query("F21_session_counts", "SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 WHEN o_orderkey % 3 = 1 THEN 3 ELSE 0 END)::INT AS n FROM orders")
+def session_counts(spark: SparkSession, folder: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    said = F.when(i % 3 == 0, F.concat(F.lit("the last "), i % 50, F.lit("-session median"))).when(i % 3 == 1, F.lit("최근 세 세션")).otherwise(F.lit("no number"))
+    return read(spark, folder, "orders").select(i, said.alias("q")).select("o_orderkey", F.coalesce(periods.session_count("q"), F.lit(0)).alias("n"))
+
+
+@query("P13_evidence_predicate", "SELECT doc_id FROM documents WHERE regexp_matches(source, '^src[0-5]$') AND regexp_matches(text, '(?i)\\bthe\\b') AND regexp_matches(text, '(?i)licen[cs]e')")
+def evidence_predicate(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").where(F.col("source").rlike("^src[0-5]$") & F.col("text").rlike(r"(?i)\bthe\b") & F.col("text").rlike("(?i)licen[cs]e")).select("doc_id")
+
+
+@query("Z9_numbers_kept", "SELECT conv_id, turn, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'))::INT AS numbers FROM conversations")
+def numbers_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("numbers"))
