@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import slices, staged, table
+from tallyhouse.llm.common import slices, small, staged, table
 
 #: Minima of a signature, and how many of them a candidate pair shares.
 COORDINATES, MATCHES = 24, 8
@@ -239,7 +239,8 @@ def _sets_of(docs: DataFrame, postings: DataFrame, words: int) -> DataFrame:
             yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    wanted = postings.select("node").distinct()
+    # Texts aren't shuffled while the ids of those that have candidates are few.
+    wanted = small(staged(postings.select("node").distinct(), "wanted"))
     return rows.join(wanted, "node", "left_semi").mapInArrow(work, "node long, shingles array<bigint>")
 
 
