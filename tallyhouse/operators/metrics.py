@@ -78,17 +78,17 @@ def plateau_windows(series: DataFrame, by: str, value: str = "value") -> DataFra
     A window is a pair of sessions of one series. The series' values travel as one array, so a
     window is a slice of it and nothing is joined but positions that can qualify at all.
     """
-    whole = series.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("started_at", F.col(value).alias("v")))).alias("s"))
-    n = F.size("s")
-    starts = whole.select(by, "s", F.explode(F.sequence(F.lit(1), F.greatest(n - PLATEAU_SESSIONS + 1, F.lit(1)))).alias("i")).where(n >= PLATEAU_SESSIONS)
-    windows = starts.select(by, "s", "i", F.explode(F.sequence(F.col("i") + PLATEAU_SESSIONS - 1, n)).alias("j"))
-    at = lambda k: F.element_at("s", k)["started_at"]
+    whole = series.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("started_at", F.col(value).alias("v")))).alias("_s"))
+    n = F.size("_s")
+    starts = whole.select(by, "_s", F.explode(F.sequence(F.lit(1), F.greatest(n - PLATEAU_SESSIONS + 1, F.lit(1)))).alias("i")).where(n >= PLATEAU_SESSIONS)
+    windows = starts.select(by, "_s", "i", F.explode(F.sequence(F.col("i") + PLATEAU_SESSIONS - 1, n)).alias("j"))
+    at = lambda k: F.element_at("_s", k)["started_at"]
     windows = windows.withColumn("days", F.floor((micros(at(F.col("j"))) - micros(at(F.col("i")))) / DAY_MICROS).cast("long")).where(F.col("days") >= PLATEAU_DAYS)
-    windows = windows.withColumn("w", F.transform(F.slice("s", F.col("i"), F.col("j") - F.col("i") + 1), lambda x: x["v"]))
+    windows = windows.withColumn("_w", F.transform(F.slice("_s", F.col("i"), F.col("j") - F.col("i") + 1), lambda x: x["v"]))
     middle = lambda a: (F.element_at(F.array_sort(a), F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(F.array_sort(a), F.floor(F.size(a) / 2).cast("int") + 1)) / 2.0
-    windows = windows.withColumns({"start_median": middle(F.slice("w", 1, 3)), "end_median": middle(F.slice("w", -3, 3)), "level": middle(F.col("w"))})
+    windows = windows.withColumns({"start_median": middle(F.slice("_w", 1, 3)), "end_median": middle(F.slice("_w", -3, 3)), "level": middle(F.col("_w"))})
     windows = windows.where("start_median > 0 AND level > 0")
-    windows = windows.withColumns({"change_pct": percent_change(F.col("start_median"), F.col("end_median")), "range_pct": 100.0 * (F.array_max("w") - F.array_min("w")) / F.col("level")})
+    windows = windows.withColumns({"change_pct": percent_change(F.col("start_median"), F.col("end_median")), "range_pct": 100.0 * (F.array_max("_w") - F.array_min("_w")) / F.col("level")})
     windows = windows.where((F.abs("change_pct") <= PLATEAU_CHANGE) & (F.col("range_pct") <= PLATEAU_RANGE))
     return windows.select(by, "i", "j", at(F.col("i")).alias("start_at"), at(F.col("j")).alias("end_at"), "days", (F.col("j") - F.col("i") + 1).alias("sessions"), "start_median", "end_median", "change_pct", "range_pct")
 

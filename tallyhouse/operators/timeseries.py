@@ -83,14 +83,14 @@ def peak_and_latest(bests: DataFrame, by: str) -> DataFrame:
 def interval_summary(bests: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """Sessions between two times: medians of the first and last three, change, range and whole days; fewer than three give none."""
     rows = bests.where(F.col("started_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
-    s = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("started_at", "session_id", "best"))).alias("s")).where(F.size("s") >= 3)
-    v = F.transform("s", lambda x: x["best"])
+    s = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("started_at", "session_id", "best"))).alias("_s")).where(F.size("_s") >= 3)
+    v = F.transform("_s", lambda x: x["best"])
     sorted_ = F.array_sort(v)
     n = F.size(v)
     median = (F.element_at(sorted_, F.floor((n + 1) / 2).cast("int")) + F.element_at(sorted_, F.floor(n / 2).cast("int") + 1)) / 2.0
     middle = lambda k: F.element_at(F.array_sort(F.slice(v, k, 3)), 2)
     out = s.select(by, n.alias("sessions"), middle(1).alias("start_median"), middle(-3).alias("end_median"), (100.0 * (F.array_max(v) - F.array_min(v)) / median).alias("range_pct"),
-                   F.floor((micros(F.element_at("s", -1)["started_at"]) - micros(F.element_at("s", 1)["started_at"])) / DAY_MICROS).cast("long").alias("days"))
+                   F.floor((micros(F.element_at("_s", -1)["started_at"]) - micros(F.element_at("_s", 1)["started_at"])) / DAY_MICROS).cast("long").alias("days"))
     return out.withColumn("change_pct", percent_change(F.col("start_median"), F.col("end_median")))
 
 
