@@ -42,7 +42,8 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     at = np.r_[np.uint32(0), at, np.uint32(0)]
     at = at[np.r_[True, (at[1:] != 0) | (at[:-1] != 0)]]
     known, small = np.unique(at, return_inverse=True)
-    known, small, width = known.astype(np.int64), small.astype(np.int64), len(known)
+    # An edge is written as a space, so that a shorter n-gram isn't the same number.
+    known, small, width = np.where(known == 0, 32, known).astype(np.int64), small.astype(np.int64), len(known)
     codes, counts = [], []
     for n in range(1, LONGEST + 1):
         packed = small[: len(small) - n + 1].copy()
