@@ -49,6 +49,31 @@ def _best_pattern(sizes: np.ndarray, gain: np.ndarray, capacity: int) -> np.ndar
     return pattern
 
 
+def _bounded_pattern(sizes: np.ndarray, gain: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """Like _best_pattern with no size taken more often than there are pieces, which are bundled by powers of two."""
+    bundles = []
+    for k, (size, n) in enumerate(zip(sizes.tolist(), left.tolist(), strict=True)):
+        n, step = min(n, capacity // size), 1
+        while n > 0:
+            bundles.append((k, min(step, n)))
+            n -= step
+            step *= 2
+    value, taken = np.zeros(capacity + 1), np.zeros((len(bundles), capacity + 1), bool)
+    for b, (k, times) in enumerate(bundles):
+        size = int(sizes[k]) * times
+        tried = value[:-size] + gain[k] * times if size <= capacity else value[:0]
+        better = tried > value[size:]
+        taken[b, size:] = better
+        value[size:][better] = tried[better]
+    pattern, room = np.zeros(len(sizes), np.int64), capacity
+    for b in range(len(bundles) - 1, -1, -1):
+        if taken[b, room]:
+            k, times = bundles[b]
+            pattern[k] += times
+            room -= int(sizes[k]) * times
+    return pattern
+
+
 def _fill(pattern: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     """Add the largest remaining sizes that fit, again and again."""
     room = capacity - int(pattern @ sizes)
@@ -93,7 +118,10 @@ def solve(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[
             break
         # The dual price of a size: its length, raised while the program has covered less of it than of others.
         pattern = np.zeros(len(sizes), np.int64)
-        pattern[live] = np.minimum(_best_pattern(sizes[live], weight[live] * sizes[live] ** POWER, capacity), left[live])
+        price = weight[live] * sizes[live] ** POWER
+        pattern[live] = _best_pattern(sizes[live], price, capacity)
+        if (pattern > left).any():
+            pattern[live] = _bounded_pattern(sizes[live], price, left[live], capacity)
         pattern = _fill(pattern, sizes, left, capacity)
         used = pattern > 0
         times = max(1, int(SHARE * (left[used] // pattern[used]).min()))
