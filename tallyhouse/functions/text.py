@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: the search tokens' form.
 #: Latin words and numbers with an inner apostrophe, runs of Hangul, runs of other letters and non-decimal numbers.
 TOKEN = "[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)?|[가-힣]+|[\\p{L}\\p{Nl}\\p{No}&&[^A-Za-z가-힣]]+"
 
