@@ -77,8 +77,12 @@ def learn(docs: DataFrame, places: int = PLACES, rows: int = LEARN_ROWS) -> dict
     part = W.Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     ids = ids.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rows)
     ids = ids.withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows)
-    last = ids.groupBy("lang").agg(F.max("h").alias("last"))
-    sample = docs.withColumn("h", order).join(last, "lang").where("h <= last")
+    # A row for each language, as many as there will be profiles; texts aren't shuffled for the sample.
+    last = {r.lang: r.h for r in ids.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return {}
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in last.items() for x in kv]), F.col("lang"))
+    sample = docs.where(order <= limit)
 
     def count(batches):
         for batch in slices(batches):
