@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +37,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str = "4m", rows: int = 2048) -> Iterator[None]:
+    """Batches to and from Python of bounded bytes while an action runs, so that long texts don't add up."""
+    keys = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -41,7 +58,8 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     planner knows the size of what it reads. Unlike a checkpoint it runs the plan once.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    with arrow_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,10 +82,15 @@ def id_crc(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of batches; when a task has read all of them, its worker gives unused memory back before it waits for another."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
-def fold_ids(rows: DataFrame, column: str = "doc_id") -> DataFrame:
-    return rows.withColumn(column, F.col(column).cast("long"))
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)

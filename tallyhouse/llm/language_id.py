@@ -11,10 +11,10 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tallyhouse.llm.common import id_crc, slices, table
@@ -144,15 +144,17 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
 
 
 def with_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """All columns of docs with _lang and _score, predicted in place, so that nothing is joined."""
-    known = Profiles(profiles)
+    """All columns of docs with _lang and _score, predicted once for each row, so that nothing is joined."""
+    known, at = Profiles(profiles), docs.columns.index("text")
 
-    @F.pandas_udf("lang string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([known.predict(t) for t in texts], columns=["lang", "score"])
+    def work(batches):
+        for batch in slices(batches):
+            found = [known.predict(t) for t in batch.column(at).to_pylist()]
+            added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, "_lang", "_score"])
 
-    rows = docs.withColumn("_guess", guess(F.col("text").cast("string")))
-    return rows.withColumn("_lang", F.col("_guess.lang")).withColumn("_score", F.col("_guess.score")).drop("_guess")
+    kind = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return docs.mapInArrow(work, kind)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import new_path, slices, table
+from tallyhouse.llm.common import arrow_batches, new_path, slices, table
 from tallyhouse.llm.tokens import encoder
 
 MAGIC = b"THTOKID1"
@@ -133,7 +133,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         size = put(f"{folder}/shard-{shard:06d}.tok", chunks())
         yield pa.record_batch([pa.array([x], pa.int64()) for x in (shard, *totals, size)], ["shard", "docs", "ids", "bytes"])
 
-    done = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, docs long, ids long, bytes long").collect()
+    with arrow_batches(spark):
+        done = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, docs long, ids long, bytes long").collect()
     before, listed = 0, []
     for row in sorted(done, key=lambda r: r.shard):
         if row.docs:

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Distinct words kept by one Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Bytes of text that NumPy works on at a time; a longer word makes a longer block.
 BLOCK_BYTES = 1 << 20
 
@@ -125,18 +125,20 @@ class Encoder:
         starts, ends = np.flatnonzero(padded[:-1] & ~padded[1:]), np.flatnonzero(~padded[:-1] & padded[1:])
         if not len(starts):
             return starts, starts, np.zeros(0, np.uint32)
-        before = np.r_[np.uint8(before_first), block][starts] if self.kind == "byte" else np.zeros(len(starts), np.uint8)
         first, second = _word_hashes(block, starts, ends)
-        first = first + before.astype(np.uint64) * _ODD[1]
+        data, back = block.tobytes(), 0
+        if self.kind == "byte":
+            # What stands before a word belongs to its key and changes its ids.
+            data, back = bytes([before_first]) + data, 1
+            first = first + np.frombuffer(data, np.uint8)[starts].astype(np.uint64) * _ODD[1]
         _, at, inverse = np.unique(first, return_index=True, return_inverse=True)
         assert (second == second[at][inverse]).all(), "two words share a hash"
-        data, known, ids = block.tobytes(), self.words, []
-        for s, e, b in zip(starts[at].tolist(), ends[at].tolist(), before[at].tolist(), strict=True):
-            key = data[s:e] + b" \n-"[(b != 32) + (b == 0) : (b != 32) + (b == 0) + 1]
-            got = known.get(key)
+        keys = [data[s:e] for s, e in zip(starts[at].tolist(), (ends[at] + back).tolist(), strict=True)]
+        ids = list(map(self.words.get, keys))
+        for k, got in enumerate(ids):
             if got is None:
-                got = known[key] = self._word(data[s:e], b)
-            ids.append(got)
+                key = keys[k]
+                ids[k] = self.words[key] = self._word(key[back:], key[0] if back else _FIRST)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool = np.frombuffer(b"".join(ids), np.uint32)
         counts = sizes[inverse]
