@@ -2,7 +2,7 @@
 
 Each document's set of word shingles gives a signature of `coordinates` minima. Documents are
 posted under every (coordinate, value) pair. A pair of documents is a candidate if it collides in
-at least `matches` coordinates, which a pair at the threshold misses with a chance below one in
+at least `matches` coordinates, which a pair at the threshold misses with a chance of about one in
 ten million. Values that one document alone has are skipped; of the rest only a document's rarest
 m - matches + 1 are merged (a candidate pair shares one of them at least), and collisions are
 counted there on the whole signatures. Candidates are confirmed on full shingle sets, and classes
