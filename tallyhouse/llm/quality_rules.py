@@ -1,8 +1,9 @@
 """Quality rules with DataFrame functions alone: rules within a text, and cross-document line frequency.
 
 A line that stands in many different documents of one host (menus, notices, footers) is counted by
-the hash of its normalised form and removed; a document that keeps too little is rejected. Exact
-copies count as one document, as a copied page doesn't make its own lines boilerplate.
+the hash of its normalised form and removed; a document that keeps too little is rejected. Copies
+and near copies count as one document, as a copied page doesn't make its own lines boilerplate: near
+copies are told by sketches, the least hashes of a text's windows.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Tasks that the rows of one hot line are dealt to.
 SALTS = 16
+#: Window hashes in a sketch, and the share of them that a near copy must have in common with other documents of its host.
+SKETCH, COPY_SHARE = 32, 2 / 3
+#: Shared window hashes that are sent to every executor at most.
+SHARED_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Fewest words; largest share of words in repeated windows; documents of a host, and share of them, above which a
-    line is removed; and the share of its words that a document must keep."""
+    """Fewest words; largest share of words in repeated windows; different documents of a host above which a line is
+    removed, however large the host; max_line_share, which is accepted but no longer read; and the share of its words
+    that a document must keep."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -44,9 +50,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in windows that stand twice or more in the text: windows are hashed, sorted with their places, and the
-    places of equal neighbours are joined to runs."""
+def _windows(words: Column) -> Column:
+    """n: words in windows that stand twice or more in the text: windows are hashed, sorted with their places, and the
+    places of equal neighbours are joined to runs. sketch: the SKETCH least hashes."""
     width = F.lit(WINDOW)
     hashes = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
 
@@ -61,7 +67,9 @@ def _repeat_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(placed, equal))
 
-    return F.when(F.size(words) <= width, F.lit(0)).otherwise(_let(hashes, runs))
+    both = lambda h: F.struct(runs(h).cast("long").alias("n"), F.slice(F.sort_array(F.array_distinct(h)), 1, SKETCH).alias("sketch"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("sketch"))
+    return F.when(F.size(words) <= width, none).otherwise(_let(hashes, both))
 
 
 def _without(text: Column, signs: list[str]) -> Column:
@@ -76,14 +84,14 @@ def normalised(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text_key, the base measures, and lines: hash and number of words of each line with a word."""
+    """doc_id, host, text_key, the base measures, lines: hash and number of words of each line with a word, and sketch."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(_without(x, [" ", "\t", "\x0b", "\f", "\r"])) > 0)
     counted = lambda x: F.size(words_of(x))
     size = F.length("text")
     base = F.struct(
-        _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _windows(w).alias("windows"))).alias("w"),
         _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.transform(x, lambda y: F.struct(F.xxhash64(normalised(y)).alias("line"), counted(y).alias("words"))).alias("lines"))).alias("l"),
     )
     rows = rows.select(
@@ -92,17 +100,47 @@ def measured(docs: DataFrame) -> DataFrame:
         (size - F.length(_without(F.col("text"), list(SYMBOLS)))).cast("long").alias("n_symbols"),
         F.explode(F.array(base)).alias("b"),
     )
-    return rows.select("doc_id", "host", "text_key", "b.w.n_words", "word_chars", "n_symbols", "b.l.n_dup_lines", "b.w.n_repeat_words", "b.l.lines")
+    return rows.select("doc_id", "host", "text_key", "b.w.n_words", "word_chars", "n_symbols", "b.l.n_dup_lines", F.col("b.w.windows.n").alias("n_repeat_words"), "b.l.lines", "b.w.windows.sketch")
+
+
+def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
+    """Equal keys, of which host may be null."""
+    on = a["host"].eqNullSafe(b["host"])
+    for k in keys:
+        on = on & (a[k] == b[k])
+    return on
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """host, text_key, group of the near copies among host, text_key, sketch.
+
+    A near copy shares most of its sketch. Its group is the least of its hashes that are shared as widely as the median
+    one or more: neither the hashes of its own edits nor, mostly, those of a common line. The copies of one document
+    that lack that hash have the next one, so that their groups grow with the logarithm of their number only.
+    """
+    hashes = texts.select("host", "text_key", F.size("sketch").alias("of"), F.explode("sketch").alias("h"))
+    shared = small(staged(hashes.groupBy("host", "h").agg(F.count("*").alias("df")).where("df > 1"), "shared-windows"), SHARED_ROWS)
+    met = hashes.join(shared, _same(hashes, shared, "h")).select(hashes.host, "text_key", "of", F.struct("df", hashes.h).alias("x"))
+    met = met.groupBy("host", "text_key").agg(F.first("of").alias("of"), F.sort_array(F.collect_list("x")).alias("x"))
+    met = met.where(F.size("x") > F.lit(COPY_SHARE) * F.col("of"))
+    least = F.element_at("x", F.floor(F.size("x") / 2).cast("int") + 1)["df"]
+    return met.select("host", "text_key", F.array_min(F.transform(F.filter("x", lambda x: x["df"] >= least), lambda x: x["h"])).alias("group"))
 
 
 def frequent_lines(rows: DataFrame, rules: Rules) -> DataFrame:
-    """host, line: lines in more distinct documents of a host than both limits allow."""
+    """host, line: lines in more different documents of a host than the limit allows, at any size of the host."""
     once = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     # A document counts once for a line; counting it in two steps keeps a hot line from meeting in one task.
-    seen = once.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > rules.max_line_docs)
-    hosts = rows.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
-    limited = seen.join(hosts, seen.host.eqNullSafe(hosts.host)).where(F.col("docs") > F.lit(rules.max_line_share) * F.col("of"))
-    return limited.select(seen.host, "line")
+    once = once.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one")).drop("one")
+    often = small(staged(once.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > rules.max_line_docs), "often"))
+    held = staged(once.join(often, _same(once, often, "line"), "left_semi"), "held")
+    # Only texts with such a line may be copies that count too much.
+    texts = held.select("host", "text_key").distinct()
+    texts = staged(rows.join(texts, _same(rows, texts, "text_key"), "left_semi").groupBy("host", "text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+    copies = _copies(texts)
+    told = held.join(copies, _same(held, copies, "text_key"), "left").select(held.host, held.line, F.coalesce("group", held.text_key).alias("document"))
+    told = told.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
+    return told.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > rules.max_line_docs).select("host", "line")
 
 
 def _judged_rows(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -114,7 +152,7 @@ def _judged_rows(docs: DataFrame, rules: Rules) -> DataFrame:
     salted = frequent.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     same = lines.host.eqNullSafe(salted.host) & (lines.line == salted.line) & (lines.salt == salted.salt)
     removed = lines.join(salted, same, "left_semi").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
-    rows = rows.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    rows = rows.drop("lines", "sketch").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < F.lit(rules.min_kept_share) * F.col("n_words")
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)

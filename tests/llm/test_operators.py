@@ -214,6 +214,20 @@ def test_frequent_lines_go_and_depleted_documents(spark):
     assert 200 not in text and "Home" not in text[3] and text[3].count(" ") == 29 and text[201] == menu and len(text) == len(kept) - 1
 
 
+def test_a_line_of_a_small_share_goes_and_lines_of_copies_stay(spark):
+    rng = random.Random(6)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
+    notice, page = "All rights reserved by the makers", [own() for _ in range(3)]
+    rows = [(k, own() + ("\n" + notice if k % 50 == 0 else ""), "big") for k in range(2000)]
+    rows += [(3000 + k, "\n".join(page), "big") for k in range(30)]
+    near = [" ".join(f"edit{k}" if j == k % 40 else w for j, w in enumerate(page[0].split())) for k in range(300)]
+    rows += [(4000 + k, "\n".join([near[k], *page[1:]]), "big") for k in range(300)]
+    rows += [(5000, notice + "\n" + own(), "other"), (5001, notice + "\n" + own(), None)]
+    got = {r.doc_id: (r.kept, r.removed_words) for r in quality_rules.judged(docs(spark, [(i, t, s) for i, t, s in rows])).collect()}
+    assert all(got[k] == (True, 6 if k % 50 == 0 else 0) for k in range(2000))
+    assert all(got[k] == (True, 0) for k in [*range(3000, 3030), *range(4000, 4300), 5000, 5001])
+
+
 # language, toxicity
 
 
