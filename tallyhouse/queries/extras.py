@@ -52,6 +52,14 @@ def filled_months(spark: SparkSession, folder: str) -> DataFrame:
     return dates_as_text(timeseries.filled_weeks(rows, "g", "month", "INTERVAL 1 MONTH").na.fill(0, ["n"]))
 
 
+@query("W3_filled_customer_months", """WITH m AS (SELECT o_custkey AS g, date_trunc('month', o_orderdate)::DATE AS m, count(*) AS n FROM orders GROUP BY ALL)
+SELECT e.g, e.m::VARCHAR AS month, coalesce(n, 0)::BIGINT AS n FROM (SELECT g, unnest(generate_series(min(m)::TIMESTAMP, max(m)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM m GROUP BY 1) e LEFT JOIN m USING (g, m)""")
+def filled_customer_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of each customer in each month from the first to the last, over all orders; most customers have months without any."""
+    rows = read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("g"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.count("*").alias("n"))
+    return dates_as_text(timeseries.filled_weeks(rows, "g", "month", "INTERVAL 1 MONTH").na.fill(0, ["n"]))
+
+
 @query("A21_trend_summary", SETS + """, r AS (SELECT *, row_number() OVER (PARTITION BY exercise_name ORDER BY started_at, session_id) AS i, row_number() OVER (PARTITION BY exercise_name ORDER BY started_at DESC, session_id DESC) AS j FROM bests)
 SELECT exercise_name, count(*)::BIGINT AS sessions, round(median(best) FILTER (i <= 5), 6) AS first_median, round(median(best) FILTER (j <= 5), 6) AS last_median, round(max(best), 6) AS peak, round(arg_max(best, (started_at, session_id)), 6) AS latest,
   round(100.0::DOUBLE * (arg_max(best, (started_at, session_id)) / max(best) - 1), 6) AS latest_vs_peak_pct FROM r GROUP BY 1""")

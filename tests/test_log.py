@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import tallyhouse.queries  # noqa: F401
 from tallyhouse.operators import cleaning, metrics, records, timeseries
 from tallyhouse.plans.engine import Engine
+from tallyhouse.plans.registry import QUERIES
 
 DAY = dt.datetime(2024, 1, 1, 10)
 KIND = "session_id string, started_at timestamp_ntz, exercise_name string, set_order int, set_id string, weight double, reps int, distance double, seconds int, notes string, workout_notes string"
@@ -117,3 +119,10 @@ def test_engine(spark):
     assert e.run("weekly_volume", start=dt.date(2024, 2, 1), end=dt.date(2024, 1, 1)).error == "invalid_date_range"
     assert e.run("nothing").error == "unknown_operation" and e.run("exercise_records", "none").error == "unknown_exercise"
     assert e.run("exercise_records", limit=2).rows.select(F.max("truncated")).collect()[0][0]
+
+
+def test_months_of_all_orders_are_filled(spark, tmp_path):
+    rows = [(1, 7, "2024-01-31"), (2, 7, "2024-01-02"), (3, 7, "2024-04-01"), (97, 8, "2023-12-05"), (98, 8, "2024-01-05")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "timestamp(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in QUERIES["W3_filled_customer_months"](spark, str(tmp_path)).select("g", "month", "n").collect())
+    assert got == [(7, "2024-01-01", 2), (7, "2024-02-01", 0), (7, "2024-03-01", 0), (7, "2024-04-01", 1), (8, "2023-12-01", 1), (8, "2024-01-01", 1)]
