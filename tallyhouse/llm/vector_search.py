@@ -93,16 +93,23 @@ def _posted(rows: DataFrame, plan: dict, query: bool) -> DataFrame:
 
 
 def best_of(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each query's k best other rows: ids and exact inner products, best first, ties to the smaller id."""
+    """Each query's k best other ids and their best exact inner products, best first, ties to the smaller id."""
     out_ids, out_scores = [], []
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     rough = q @ x.T
     rough[queries[:, None] == ids[None, :]] = -np.inf
-    for i, row in enumerate(rough):
-        cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+    # An id takes one of the k places, however many rows it has.
+    for i, (row, best) in enumerate(zip(rough, np.maximum.reduceat(rough, starts, 1), strict=True)):
+        cut = np.partition(best, -k)[-k] if len(best) > k else -np.inf
         # Rows within rounding of the last place stay until they have been computed one by one.
         near = np.flatnonzero(row >= cut - 1e-9 * max(1.0, abs(cut))) if np.isfinite(cut) else np.flatnonzero(row > -np.inf)
         exact = (x[near] * q[i]).sum(1)
-        order = np.lexsort((ids[near], -exact))[:k]
+        order = np.lexsort((ids[near], -exact))
+        if len(starts) < len(ids):
+            order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])]
+        order = order[:k]
         out_ids.append(ids[near][order])
         out_scores.append(exact[order])
     return out_ids, out_scores
@@ -145,7 +152,7 @@ def _blocks(queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = queries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("ni"))
     # A row for each bucket: tables times twice the padded dimension, for each dimension of vectors there is.
     dealt = staged(sizes.join(asked, "bucket"), "buckets")
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     return (
         queries.join(dealt, "bucket").withColumn("i", own("ni")).withColumn("j", every("nj")).drop("ni", "nj"),
@@ -162,7 +169,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     Ties go to the smaller id. A query that finds fewer than k of what there is asks all rows. An
     empty table gives an empty result; other columns are not read.
     """
-    rows = staged(taking_part(vectors, key, vector).withColumn("asks", queries), "vectors")
+    # Rows that are repeated whole would only be compared again.
+    rows = staged(taking_part(vectors, key, vector).distinct().withColumn("asks", queries), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stats = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.min(norm).alias("low")).collect()  # a row for each length of vector
     plan = {r.dim: (r.n, r.top, r.low < r.top * (1 - 1e-4)) for r in stats}

@@ -351,3 +351,23 @@ def test_neighbours_against_brute_force(spark, monkeypatch, exact):
     assert got["query_id"].nunique() == 20 and recall / 20 >= 0.9
     assert vector_search.search(frame.limit(0), F.lit(True)).count() == 0
     assert vector_search.search(frame.where("vec_id < 3"), F.lit(True), k=20).count() == 6
+
+
+@pytest.mark.parametrize("exact", [2048, 50])
+def test_repeated_ids_take_one_place(spark, monkeypatch, exact):
+    monkeypatch.setattr(vector_search, "EXACT_ROWS", exact)
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(100, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] * 2 + [(500, (3 * x[0] + rng.normal(size=16) / 50).tolist()) for _ in range(60)]
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 5, k=20).toPandas()
+    for q in range(5):
+        best = {}
+        for k, v in rows:
+            if k != q:
+                best[k] = max(best.get(k, -np.inf), float((x[q] * np.array(v)).sum()))
+        want = sorted(best, key=lambda k: (-best[k], k))[:20]
+        g = got[got["query_id"] == q].sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 21)) and g["vec_id"].is_unique
+        assert np.allclose(g["score"], [best[k] for k in g["vec_id"]], atol=1e-12)
+        assert g["vec_id"].tolist() == want if exact == 2048 else len(set(want) & set(g["vec_id"])) >= 16
