@@ -38,18 +38,44 @@ LOOKALIKES = {
 }
 _FOLD = {ord(x): k for k, v in LOOKALIKES.items() for x in v}
 _MARKS = re.compile("[̀-ͯ​-‏⁠﻿­]+")
-_WORD = re.compile(r"[^\W_]+")
+#: Signs that stand for letters within a word, but beside one may be punctuation.
+_SIGNS = "".join(x for v in LOOKALIKES.values() for x in v if not x.isalnum())
+_WORD = re.compile(rf"(?:[^\W_]|[{re.escape(_SIGNS)}])+")
 
 
-def fold(text: str) -> str:
-    """Same words for disguised and plain spellings."""
+def _plain(text: str) -> str:
+    """Compatibility forms, without marks and case; the letters and signs that _FOLD replaces, one by one, still stand."""
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    return text.casefold().translate(_FOLD)
+    return text.casefold()
+
+
+def fold(text: str) -> str:
+    """Same words for disguised and plain spellings."""
+    return _plain(text).translate(_FOLD)
+
+
+def word_forms(text: str | None) -> list[tuple[str, str]]:
+    """Each word folded without and with the signs at its ends, which may be punctuation or letters; signs alone are no word."""
+    words = []
+    for m in _WORD.finditer(_plain(text or "")):
+        whole = m[0]
+        bare = whole.strip(_SIGNS)
+        if bare:
+            folded = bare.translate(_FOLD)
+            words.append((folded, folded if bare == whole else whole.translate(_FOLD)))
+    return words
 
 
 def folded_words(text: str | None) -> list[str]:
-    return _WORD.findall(fold(text or ""))
+    return [bare for bare, _ in word_forms(text)]
+
+
+def _beyond(plain: str, at: int, step: int) -> int | None:
+    """The place past the signs from `at` on if a word may end there, else None."""
+    while 0 <= at < len(plain) and plain[at] in _SIGNS:
+        at += step
+    return None if 0 <= at < len(plain) and plain[at].isalnum() else at
 
 
 @dataclass(frozen=True)
@@ -79,16 +105,23 @@ class Matcher:
         """Summed weight of matched words over 1 + words / HALF_WORDS; 0 for a text without words."""
         if not text or not self.ready:
             return 0.0
-        folded = fold(text)
-        hits = []
+        plain = _plain(text)
+        folded = plain.translate(_FOLD)
+        words: dict[int, tuple[int, int, float]] = {}
         excused: list[tuple[int, int]] = []
         for end, (size, weight) in self.machine.iter(folded):
             begin = end - size + 1
-            if (begin == 0 or not folded[begin - 1].isalnum()) and (end + 1 == len(folded) or not folded[end + 1].isalnum()):
-                if weight is None:
-                    excused.append((begin, end))
-                else:
-                    hits.append((begin, end, weight))
+            # Most hits lie within longer words. Signs alone are no word.
+            if begin and plain[begin - 1].isalnum() or end + 1 < len(plain) and plain[end + 1].isalnum() or not plain[begin : end + 1].strip(_SIGNS):
+                continue
+            left, right = _beyond(plain, begin - 1, -1), _beyond(plain, end + 1, 1)
+            if left is None or right is None:
+                continue
+            if weight is None:
+                excused.append((begin, end))
+            elif right not in words or words[right][1] - words[right][0] < end - begin:  # a word counts once, by the form with more of its signs
+                words[right] = (begin, end, weight)
+        hits = list(words.values())
         if not hits:
             return 0.0
         if excused:
@@ -104,8 +137,11 @@ def _counted(rows: DataFrame, words: set[str] | None = None) -> DataFrame:
     """term, toxic, clean: in how many documents of each label a word stands, or with `words` one of them and a neighbour."""
 
     def terms(text: str | None) -> set[str]:
-        parts = folded_words(text)
-        return set(parts) if words is None else {f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False) if a in words or b in words}
+        forms = word_forms(text)
+        if words is None:
+            return {w for form in forms for w in form}
+        parts = [whole if whole in words else bare for bare, whole in forms]
+        return {f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False) if a in words or b in words}
 
     def count(batches):
         for batch in slices(batches):

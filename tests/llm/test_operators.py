@@ -260,6 +260,25 @@ def test_disguised_words_are_found_and_excused():
     assert all(m.score(t) < 0.5 for t in ("", None, "idiotic", "a trash can", "1010"))
 
 
+def test_signs_beside_a_word_do_not_hide_it():
+    lexicon = toxicity.Lexicon({toxicity.fold(w): 5.0 for w in ("idiot", "loser", "scum", "ass", "as")}, (toxicity.fold("scum line"),), 2.0, 2.0)
+    m = toxicity.Matcher(lexicon)
+    assert all(m.weight(t) > 4 for t in ("idiot!", "You LOSER!!", "SCUM!! x", "|idiot|", "@idiot $", "!d!ot!", "idiot+", "a$$", "a$$!", "idiot!_"))
+    assert all(m.weight(t) == 0 for t in ("idiot!c", "c!idiot", "!!!", "scum line!", "$scum line$", "x@ss"))
+    assert m.weight("a$$!") < 6 and m.weight("idiot! idiot!") > 9
+    assert ("idiot", "idioti") in [(b.replace("l", "i"), w.replace("l", "i")) for b, w in toxicity.word_forms("idiot! !!")] and len(toxicity.word_forms("idiot! !!")) == 1
+
+
+def test_a_shouted_lexicon_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 20) + (" VILE" + "!" * (1 + k // 4 % 9) if k % 4 == 0 else ""), "x") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs(spark, rows).where("doc_id < 150"), labels)
+    assert toxicity.fold("vile") in lexicon.weights
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, rows), lexicon).collect()}
+    assert all(got[k] == int(k % 4 == 0) for k in range(200))
+
+
 def test_a_lexicon_is_learned(spark):
     rng = random.Random(4)
     rows = [(k, prose(rng, 20) + (" vile" if k % 4 == 0 else ""), "x") for k in range(200)]
