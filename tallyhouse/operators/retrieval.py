@@ -44,20 +44,21 @@ def top(rows: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank
     return rows.withColumn(rank, F.row_number().over(W.Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, retain_zero: bool = False) -> DataFrame:
-    """query_id, chunk_id, score, rank; ties go to the smaller id.
-
-    Only postings of the queries' terms are kept: the index is probed by term. With retain_zero a
-    query that matches fewer than k passages is filled up with others in id order, score 0.
-    """
+def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score of every passage that a query matches; only postings of the queries' terms are kept: the index is probed by term."""
     terms = query_terms(queries)
     index = postings(chunks)
     wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
     stats = F.broadcast(statistics(chunks).select("passages", "mean_length"))  # one row
     weighed = wanted.join(document_frequency(wanted), "term").crossJoin(stats)
     part = idf(F.col("df"), F.col("passages")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scores = weighed.withColumn("part", part).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * F.col("part")).alias("score"))
-    found = top(scores.where("score > 0"), "query_id", [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
+    return weighed.withColumn("part", part).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * F.col("part")).alias("score")).where("score > 0")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, retain_zero: bool = False) -> DataFrame:
+    """query_id, chunk_id, score, rank; ties go to the smaller id. With retain_zero a query that matches fewer than k
+    passages is filled up with others in id order, score 0."""
+    found = top(bm25_scores(queries, chunks), "query_id", [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
     if not retain_zero:
         return found
     # At most k passages with the smallest ids beside those that match are ever needed.
@@ -96,6 +97,17 @@ def recovery_fusion(initial: DataFrame, recovery: DataFrame, budget: int = 10) -
 
 
 def collapse_to_parents(hits: DataFrame, k: int, parent: str = "parent_id") -> DataFrame:
-    """Each query's first k parents by their best child; ranking all children once gives what fetching ever more would."""
+    """Each query's first k parents by their best child among the ranked hits: of a cut list, parents without a child in it are missing."""
     best = hits.groupBy("query_id", parent).agg(F.min(F.struct("rank", "chunk_id", "score")).alias("b"))
     return top(best.select("query_id", parent, F.col("b.chunk_id").alias("best_child"), F.col("b.score").alias("score"), F.col("b.rank").alias("child_rank")), "query_id", [F.col("child_rank")], k)
+
+
+def best_parents(scores: DataFrame, k: int, parent: str = "parent_id") -> DataFrame:
+    """Each query's first k parents by their best child, ties to the smaller child, over all scored children.
+
+    It gives what fetching ever more children would. Children are aggregated before parents are
+    ranked, so that neither a large parent nor a query that matches most passages is one task.
+    """
+    order = F.struct((-F.round("score", 9)).alias("less"), F.col("chunk_id").alias("best_child"))
+    best = scores.groupBy("query_id", parent).agg(F.min(order).alias("b")).select("query_id", parent, "b.best_child", (-F.col("b.less")).alias("score"))
+    return top(best, "query_id", [F.desc("score"), F.col("best_child")], k)

@@ -120,6 +120,16 @@ def parents(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.collapse_to_parents(hits, 5).select("query_id", "parent_id", "best_child", "child_rank", "rank")
 
 
+@query("R8_W14_all_parents", INDEX + """, h AS (SELECT query_id, chunk_id, round(score, 9) AS score, source AS parent_id FROM sc JOIN documents ON doc_id = chunk_id WHERE score > 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY score DESC, chunk_id) AS nth FROM h)
+SELECT query_id, parent_id, chunk_id AS best_child, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c WHERE nth = 1) WHERE rank <= 5""")
+def all_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """The first parents over all children that match, where R8_W13_parents has those of a fixed pool of children."""
+    rows = chunks(spark, folder)
+    scores = retrieval.bm25_scores(questions(spark, folder), rows).join(rows.select("chunk_id", F.col("paper_id").alias("parent_id")), "chunk_id")
+    return retrieval.best_parents(scores, 5).select("query_id", "parent_id", "best_child", F.round("score", 6).alias("score"), "rank")
+
+
 @query("A28_corpus_statistics", """SELECT source AS paper_id, count(*)::BIGINT AS chunks, count(DISTINCT lang)::BIGINT AS sections, min(w)::INT AS shortest, max(w)::INT AS longest, round(avg(w), 6) AS mean_words, (count(*) FILTER (w < 80))::BIGINT AS below_minimum
 FROM (SELECT *, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1""")
 def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:

@@ -120,3 +120,11 @@ def test_articles(spark, tmp_path):
     (tmp_path / "a.xml").write_text(xml)
     row = files.articles(spark, str(tmp_path / "a.xml")).collect()[0]
     assert (row.pmid, row.title, row.year) == ("7", "A b", 2000) and [(s.title, s.paragraphs) for s in row.sections] == [("Intro", ["One."])]
+
+
+def test_parents_beyond_a_pool_of_children_are_found(spark):
+    rows = [(k, "hot", "word word") for k in range(80)] + [(100 + k, f"p{k}", "word other words") for k in range(6)]
+    scores = retrieval.bm25_scores(spark.createDataFrame([(1, "word")], "query_id long, text string"), spark.createDataFrame(rows, "chunk_id long, parent_id string, text string"))
+    hits = scores.join(spark.createDataFrame(rows, "chunk_id long, parent_id string, text string").drop("text"), "chunk_id")
+    got = retrieval.best_parents(hits, 5).orderBy("rank").collect()
+    assert [(r.parent_id, r.best_child, r["rank"]) for r in got] == [("hot", 0, 1), ("p0", 100, 2), ("p1", 101, 3), ("p2", 102, 4), ("p3", 103, 5)]
