@@ -4,7 +4,7 @@ import pytest
 
 from tallyhouse.functions import periods, text
 from tallyhouse.operators import passages, retrieval
-from tallyhouse.plans import answers, router
+from tallyhouse.plans import answers, questions, router
 from tallyhouse.plans.questions import ClarificationError, Clarifications
 from tallyhouse.sources import files
 
@@ -128,3 +128,9 @@ def test_parents_beyond_a_pool_of_children_are_found(spark):
     hits = scores.join(spark.createDataFrame(rows, "chunk_id long, parent_id string, text string").drop("text"), "chunk_id")
     got = retrieval.best_parents(hits, 5).orderBy("rank").collect()
     assert [(r.parent_id, r.best_child, r["rank"]) for r in got] == [("hot", 0, 1), ("p0", 100, 2), ("p1", 101, 3), ("p2", 102, 4), ("p3", 103, 5)]
+
+
+def test_no_alias_of_a_large_dictionary_is_lost(spark):
+    aliases = spark.range(100_060).selectExpr("concat('lift', id, 'x') AS alias", "concat('Lift ', id) AS canonical_name")
+    asked = spark.createDataFrame([(k, f"my lift{k}x records") for k in [*range(30), *range(100_000, 100_060)]], "q long, text string")
+    assert {r.q: r.exercise for r in questions.longest_alias(asked, aliases, "q").collect()} == {k: f"Lift {k}" for k in [*range(30), *range(100_000, 100_060)]}
