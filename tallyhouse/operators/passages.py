@@ -6,6 +6,7 @@ rows that hold one section each; sections are independent, so nothing is shuffle
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections import Counter
@@ -16,24 +17,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What ends a sentence, and where a long paragraph is split.
-_SENTENCE_END = re.compile(r"[.!?]+[\"'”’)]*(?=\s|$)")
-_LONG_SPLIT = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
-# Abbreviations after which a full stop ends no sentence; single letters do the same.
+# Marks that end a sentence, what may close behind them, and words after which a lone full stop ends none.
+MARKS, CLOSERS = ".!?", "\"'”’)"
 ABBREVIATIONS = ("e.g", "i.e", "et al", "Fig", "Figs", "Eq", "Eqs", "Dr", "Mr", "Ms", "vs", "etc")
-_ABBREVIATED = re.compile(r"(?:\b(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")|\b[A-Z])\.$", re.I)
-#: Letters before a full stop that an abbreviation can have.
-_LOOK_BACK = 12
+_SHORT = {tuple(re.findall(r"\w+", a.lower())) for a in ABBREVIATIONS}
+_WORD = re.compile(r"\S+")
+_LETTERS = re.compile(r"\w+")
+
+
+def _abbreviated(before: str, word: str) -> bool:
+    """Whether a word's one full stop belongs to an abbreviation or to a single letter; `before` is the word one space before."""
+    if word[-1:] != "." or word[-2:-1] in MARKS:
+        return False
+    parts = _LETTERS.findall(word)
+    if not parts or not word[:-1].endswith(parts[-1]):
+        return False
+    last, other = parts[-1].lower(), _LETTERS.findall(before)[-1:] if word[:-1] == parts[-1] else []
+    return len(last) == 1 and last.isascii() and last.isalpha() or (last,) in _SHORT or (*(x.lower() for x in other), last) in _SHORT and before.endswith(tuple(other))
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Starts and ends of a text's sentences; decimals and abbreviations end none."""
-    spans, start = [], 0
-    for m in _SENTENCE_END.finditer(text):
-        abbreviated = text[m.start()] == "." and _ABBREVIATED.search(text[max(0, m.end() - _LOOK_BACK) : m.end()])
-        if not abbreviated and text[start : m.end()].strip():
+    spans, start, before = [], 0, ""
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if word.rstrip(CLOSERS)[-1:] in MARKS and word.rstrip(CLOSERS) and not _abbreviated(before, word):
             spans.append((start, m.end()))
             start = m.end()
+        before = word if text[m.end() : m.end() + 1] == " " and not text[m.end() + 1 : m.end() + 2].isspace() else ""
     if text[start:].strip():
         spans.append((start, len(text)))
     return spans
@@ -55,77 +66,67 @@ class ChunkRules:
     overlap: int = 60
 
 
-def _pieces(paragraph: str, most: int) -> list[str]:
-    """A paragraph in pieces of at most `most` words, cut between sentences where possible."""
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for sentence in _LONG_SPLIT.split(paragraph):
-        words = sentence.split()
-        too_long = len(words) > most
-        if held and (too_long or size + len(words) > most):
-            out.append(" ".join(held))
-            held, size = [], 0
-        if too_long:
-            out += [" ".join(words[k : k + most]) for k in range(0, len(words), most)]
+def _sentences(paragraph: str) -> list[str]:
+    """A paragraph in parts that end with a mark, where the next begins with a capital or a digit; text between is white space."""
+    out, start, ended = [], 0, 0
+    for m in _WORD.finditer(paragraph):
+        begins = "A" <= m[0][0] <= "Z" or "0" <= m[0][0] <= "9"
+        if begins and ended and paragraph[ended - 1] in MARKS:
+            out.append(paragraph[start:ended])
+            start = m.start()
+        ended = m.end()
+    return [*out, paragraph[start:]]
+
+
+def _pieces(paragraph: str, most: int) -> list[tuple[str, int]]:
+    """A paragraph in pieces of at most `most` words with their sizes, cut between sentences where possible."""
+    parts = _sentences(paragraph)
+    upto = list(itertools.accumulate((len(p.split()) for p in parts), initial=0))
+    out, i = [], 0
+    while i < len(parts):
+        # The farthest cut that the running number of words allows; parts without words go along.
+        j = bisect.bisect_right(upto, upto[i] + most) - 1
+        if j > i:
+            out.append((" ".join(parts[i:j]), upto[j] - upto[i]))
+            i = j
         else:
-            held.append(sentence)
-            size += len(words)
-    return out + ([" ".join(held)] if held else [])
-
-
-class _Packer:
-    """Carries a chunk in the making, with the overlap that it began with."""
-
-    def __init__(self, rules: ChunkRules):
-        self.rules, self.done = rules, []
-        self.restart([], [])
-
-    def restart(self, texts: list[str], numbers: list[int]) -> None:
-        self.texts, self.numbers = texts, numbers
-        self.words = self.carried = sum(len(t.split()) for t in texts)
-        self.fresh = 0
-
-    def emit(self) -> None:
-        whole = "\n\n".join(self.texts)
-        self.done.append({"text": whole, "first": min(self.numbers), "last": max(self.numbers)})
-        tail = whole.split()[-self.rules.overlap :] if self.rules.overlap else []
-        self.restart([" ".join(tail)] if tail else [], [max(self.numbers)] if tail else [])
-
-    def add(self, text: str, number: int) -> None:
-        n = len(text.split())
-        if self.texts and self.words + n > self.rules.most:
-            if self.fresh:
-                self.emit()
-            else:  # nothing but overlap, which isn't worth a chunk
-                self.restart([], [])
-        self.texts.append(text)
-        self.numbers.append(number)
-        self.words += n
-        self.fresh += n
-        if self.words >= self.rules.target:
-            self.emit()
-
-    def finish(self) -> list[dict]:
-        if self.texts and self.fresh:
-            whole = "\n\n".join(self.texts)
-            new = whole.split()[self.carried :]
-            last = self.done[-1] if self.done else None
-            if last and len(new) < self.rules.least and len(last["text"].split()) + len(new) <= self.rules.most + self.rules.overlap:
-                last["text"] += "\n\n" + " ".join(new)
-                last["last"] = max(self.numbers)
-            else:
-                self.done.append({"text": whole, "first": min(self.numbers), "last": max(self.numbers)})
-        return self.done
+            words = parts[i].split()
+            out += [(" ".join(words[k : k + most]), min(most, len(words) - k)) for k in range(0, len(words), most)]
+            i += 1
+    return out
 
 
 def chunk_paragraphs(paragraphs: list[str], rules: ChunkRules = ChunkRules()) -> list[dict]:
-    """A section's chunks: text, and numbers (from 1) of the first and last paragraph that each has words of."""
-    packer = _Packer(rules)
-    for number, paragraph in enumerate(paragraphs, 1):
-        for piece in _pieces(paragraph, rules.most):
-            packer.add(piece, number)
-    return packer.finish()
+    """A section's chunks: text, and numbers (from 1) of the first and last paragraph that each has words of.
+
+    The cuts follow from the pieces' running number of words alone: a chunk ends with the piece
+    that reaches the target, or before one that would go beyond the most. It begins with the last
+    words of the chunk before, unless that one reached the target and they leave no room for the
+    next piece; a piece that had no room in the chunk before is taken together with them.
+    """
+    pieces = [(text, n, number) for number, p in enumerate(paragraphs, 1) for text, n in _pieces(p, rules.most)]
+    upto = list(itertools.accumulate((n for _, n, _ in pieces), initial=0))
+    made: list[dict] = []
+    i, carried, due = 0, 0, 0
+    while i < len(pieces):
+        enough = bisect.bisect_left(upto, upto[i] + rules.target - carried, i + 1)
+        beyond = bisect.bisect_right(upto, upto[i] + rules.most - carried, i + 1 + due)
+        j = min(enough, beyond - 1, len(pieces))
+        if upto[j] == upto[i]:
+            if j == len(pieces):
+                break  # nothing but pieces without words
+            i, carried, due = j, 0, 1  # the words of the chunk before leave no room
+            continue
+        tail = made[-1]["text"].split()[-carried:] if carried else []
+        chunk = {"text": "\n\n".join([*([" ".join(tail)] if tail else []), *(p[0] for p in pieces[i:j])]), "first": made[-1]["last"] if carried else pieces[i][2], "last": pieces[j - 1][2]}
+        size, short = carried + upto[j] - upto[i], j == len(pieces) and carried + upto[j] - upto[i] < rules.target
+        if short and made and size - carried < rules.least and made[-1]["words"] + size - carried <= rules.most + rules.overlap:
+            made[-1]["text"] += "\n\n" + " ".join(chunk["text"].split()[carried:])
+            made[-1]["last"] = chunk["last"]
+        else:
+            made.append({**chunk, "words": size})
+        i, carried, due = j, min(rules.overlap, size), int(size < rules.target)
+    return [{k: c[k] for k in ("text", "first", "last")} for c in made]
 
 
 def chunked(sections: DataFrame, key: list[str], paragraphs: str = "paragraphs", rules: ChunkRules = ChunkRules()) -> DataFrame:

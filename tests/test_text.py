@@ -134,3 +134,30 @@ def test_no_alias_of_a_large_dictionary_is_lost(spark):
     aliases = spark.range(100_060).selectExpr("concat('lift', id, 'x') AS alias", "concat('Lift ', id) AS canonical_name")
     asked = spark.createDataFrame([(k, f"my lift{k}x records") for k in [*range(30), *range(100_000, 100_060)]], "q long, text string")
     assert {r.q: r.exercise for r in questions.longest_alias(asked, aliases, "q").collect()} == {k: f"Lift {k}" for k in [*range(30), *range(100_000, 100_060)]}
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [("2032년", ("2032-01-01", "2032-12-31", None)), ("2030년부터 2032년까지", ("2030-01-01", "2032-12-31", None)), ("2034년 11월부터 2035년 2월까지", ("2034-11-01", "2035-02-28", None)),
+     ("2034년 9월 3일부터 12월까지", ("2034-09-03", "2034-12-31", None)), ("2033년 2월 29일", (None, None, "invalid_calendar_date")), ("2034년 13월", (None, None, "invalid_calendar_date")),
+     ("2034년 12월~9월", (None, None, "reversed_date_range")), ("2034년과2035년", (None, None, "ambiguous_date_range")), ("120345년 12 일", (None, None, None)), ("", (None, None, None))],
+)
+def test_written_out_periods(said, want):
+    assert periods.explicit_period(said) == want
+
+
+def test_days_in_both_forms(spark):
+    rows = spark.createDataFrame([("2024-01-05, 2024년 1월 5일, 2024년2월3일 and 2024-02-30",), ("2024년 3월",), (None,)], "t string").select(periods.full_dates("t").alias("x")).collect()
+    assert [r.x for r in rows] == [["2024-01-05", "2024-02-03"], [], []]
+
+
+def test_sentences_of_odd_texts():
+    cut = lambda t: [t[a:b].strip() for a, b in passages.sentence_spans(t)]
+    assert cut("See (e.g. this) et al. and J. Doe. Done?!\" Yes") == ["See (e.g. this) et al. and J. Doe.", "Done?!\"", "Yes"]
+    assert cut("A list etc.. Next 3.5 kg.)  ") == ["A list etc..", "Next 3.5 kg.)"] and cut(" \n ") == []
+
+
+def test_a_piece_without_room_keeps_the_overlap_and_one_after_the_target_may_not():
+    rules = passages.ChunkRules(target=5, least=1, most=8, overlap=3)
+    made = passages.chunk_paragraphs(["a b c", "d e f g h i j", "k l m n o p"], rules)
+    assert [c["text"] for c in made] == ["a b c", "a b c\n\nd e f g h i j", "k l m n o p"] and [(c["first"], c["last"]) for c in made] == [(1, 1), (1, 2), (3, 3)]
