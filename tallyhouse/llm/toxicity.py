@@ -9,6 +9,8 @@ through a logistic curve whose middle separates the learned labels best.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -25,10 +27,11 @@ from tallyhouse.llm.common import id_crc, slices, table
 
 #: Labelled documents of each label that are learned from at most, those with the least hashes of their ids.
 LEARN_ROWS = 4000
-#: Words of the lexicon and exception phrases at most; fewest toxic documents that have a word, and its least log-odds.
-WORDS, PHRASES, LEAST_DOCS, LEAST_ODDS = 500, 500, 5, 4.0
-#: Length in words at which a text's length halves the weight of its matches.
-HALF_WORDS = 20_000
+#: Fewest documents of its label that have a word or phrase, a word's least log-odds outside exception phrases, and the
+#: log-odds from which on a word is tried: more clean documents than that would have to excuse it.
+LEAST_DOCS, LEAST_ODDS, TRIED_ODDS = 5, 4.0, 1.0
+#: Lengths in words at which a text's length halves the weight of its matches; the one that parts the labels best is learned.
+HALF_WORDS = (100, 300, 1000, 3000, 10_000, 30_000)
 
 # Letters and signs by what they are folded to. The letters l and i fold together, as 1 and | may stand for either.
 LOOKALIKES = {
@@ -86,6 +89,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = ()
     middle: float = 1.0
     steep: float = 4.0
+    half_words: float = 10_000
 
 
 class Matcher:
@@ -101,10 +105,10 @@ class Matcher:
         if self.ready:
             self.machine.make_automaton()
 
-    def weight(self, text: str | None) -> float:
-        """Summed weight of matched words over 1 + words / HALF_WORDS; 0 for a text without words."""
+    def matched(self, text: str | None) -> tuple[float, int]:
+        """Summed weight of matched words outside exception phrases, and the number of words apart by spaces or lines."""
         if not text or not self.ready:
-            return 0.0
+            return 0.0, 0
         plain = _plain(text)
         folded = plain.translate(_FOLD)
         words: dict[int, tuple[int, int, float]] = {}
@@ -122,32 +126,44 @@ class Matcher:
             elif right not in words or words[right][1] - words[right][0] < end - begin:  # a word counts once, by the form with more of its signs
                 words[right] = (begin, end, weight)
         hits = list(words.values())
-        if not hits:
-            return 0.0
-        if excused:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in excused)]
-        return sum(w for _, _, w in hits) / (1 + (folded.count(" ") + folded.count("\n") + 1) / HALF_WORDS)
+        if hits and excused:
+            # Of the phrases that begin at or before a hit, the one that reaches farthest decides.
+            excused.sort()
+            begins, reach = [a for a, _ in excused], list(itertools.accumulate((b for _, b in excused), max))
+            hits = [h for h in hits if not (k := bisect.bisect_right(begins, h[0])) or reach[k - 1] < h[1]]
+        return sum(w for _, _, w in hits), folded.count(" ") + folded.count("\n") + 1
+
+    def weight(self, text: str | None) -> float:
+        """Summed weight of matched words over 1 + words / half_words; 0 for a text without words."""
+        total, words = self.matched(text)
+        return total / (1 + words / self.lexicon.half_words)
 
     def score(self, text: str | None) -> float:
         x = self.lexicon.steep * (self.weight(text) - self.lexicon.middle)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def _counted(rows: DataFrame, words: set[str] | None = None) -> DataFrame:
-    """term, toxic, clean: in how many documents of each label a word stands, or with `words` one of them and a neighbour."""
+def _terms(text: str | None, words: set[str] | None, excuses: set[str]) -> set[str]:
+    """All words of a text; with `words` those of them with a neighbour, or with `excuses` those of them outside of such phrases."""
+    forms = word_forms(text)
+    if words is None:
+        return {w for form in forms for w in form}
+    parts = [whole if whole in words else bare for bare, whole in forms]
+    pairs = [f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False)]
+    if not excuses:
+        return {p for p, a, b in zip(pairs, parts, parts[1:], strict=False) if a in words or b in words}
+    excused = [p in excuses for p in pairs]
+    return {x for x, before, after in zip(parts, [False, *excused], [*excused, False], strict=True) if x in words and not before and not after}
 
-    def terms(text: str | None) -> set[str]:
-        forms = word_forms(text)
-        if words is None:
-            return {w for form in forms for w in form}
-        parts = [whole if whole in words else bare for bare, whole in forms]
-        return {f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False) if a in words or b in words}
+
+def _counted(rows: DataFrame, words: set[str] | None = None, excuses: set[str] = frozenset()) -> DataFrame:
+    """term, toxic, clean: in how many documents of each label one of the _terms stands."""
 
     def count(batches):
         for batch in slices(batches):
             seen: Counter = Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen.update((w, toxic) for w in terms(text))
+                seen.update((w, toxic) for w in _terms(text, words, excuses))
             yield pa.record_batch([pa.array([w for w, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "toxic", "docs"])
 
     of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("docs")).otherwise(0))
@@ -175,6 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Lexicon
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     marked = marked.withColumn("h", order)
+    # A hash range that holds some more than `rows` of a label leaves few to be ranked.
+    n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, 1.0 if v <= 2 * rows else (1.2 * rows + 200) / v)])
+    marked = marked.where(F.pmod("h", F.lit(1 << 40)) < share[F.col("toxic")] * float(1 << 40)) if n else marked
     part = W.Window.partitionBy("toxic", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     marked = marked.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rows)
     marked = marked.withColumn("r", F.row_number().over(W.Window.partitionBy("toxic").orderBy("h", "doc_id"))).where(F.col("r") <= rows)
@@ -193,28 +213,41 @@ def _learned(picked: DataFrame) -> Lexicon:
     if not toxic or not clean:
         return Lexicon()
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    best = _counted(picked).where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    best = best.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").limit(WORDS).collect()
-    weights = {r.term: float(r.odds) for r in best}
-    excuses = _counted(picked, set(weights)).withColumn("odds", odds).where(F.col("clean") >= LEAST_DOCS).where(F.col("odds") <= 0)
-    exceptions = tuple(sorted(r.term for r in excuses.orderBy(F.desc("clean"), "term").limit(PHRASES).collect()))
+    # What is collected are terms of the bounded sample that several of its documents share.
+    telling = lambda counts: counts.where(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds)
+    tried = {r.term: float(r.odds) for r in telling(_counted(picked)).where(F.col("odds") >= TRIED_ODDS).collect()}
+    excuses = _counted(picked, set(tried)).where(F.col("clean") >= LEAST_DOCS).where(odds <= 0)
+    exceptions = tuple(sorted(r.term for r in excuses.collect()))
+    if exceptions:
+        tried = {r.term: float(r.odds) for r in telling(_counted(picked, set(tried), set(exceptions))).collect()}
+    weights = {w: x for w, x in tried.items() if x >= LEAST_ODDS}
+    exceptions = tuple(e for e in exceptions if any(w in weights for w in e.split(" ")))
     rough = Lexicon(weights, exceptions)
 
     def weigh(batches):
         matcher = Matcher(rough)
         for batch in slices(batches):
-            yield pa.record_batch([pa.array([matcher.weight(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("toxic")], ["weight", "toxic"])
+            found = [matcher.matched(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64()), batch.column("toxic")], ["total", "words", "toxic"])
+
+    found = [(r.total, r.words, r.toxic) for r in picked.mapInArrow(weigh, "total double, words long, toxic int").collect()]
+    # Of lengths that part the labels equally well, the one that changes weights least.
+    best = min((*_parted([(x / (1 + n / half), t) for x, n, t in found], toxic, clean), -half) for half in HALF_WORDS)
+    middle = best[1]
+    return Lexicon(weights, exceptions, max(middle, 1e-6), 4.0 / max(middle, 0.1), -best[2])
+
 
-    found = sorted((r.weight, r.toxic) for r in picked.mapInArrow(weigh, "weight double, toxic int").collect())
-    # The middle is where errors, each label's in proportion, are fewest; between two weights, half way.
+def _parted(weighed: list[tuple[float, int]], toxic: int, clean: int) -> tuple[float, float]:
+    """The least error (each label's in proportion) of a threshold on weights, and that threshold; between two weights, half way."""
+    found = sorted(weighed)
     missed, kept = 0, clean
-    best_error, middle = kept / clean, -1.0
+    error, middle = kept / clean, -1.0
     for k, (w, label) in enumerate(found):
         missed, kept = missed + label, kept - (1 - label)
         nxt = found[k + 1][0] if k + 1 < len(found) else w + 1.0
-        if nxt > w and (error := missed / toxic + kept / clean) < best_error - 1e-12:
-            best_error, middle = error, (w + nxt) / 2
-    return Lexicon(weights, exceptions, max(middle, 1e-6), 4.0 / max(middle, 0.1))
+        if nxt > w and (tried := missed / toxic + kept / clean) < error - 1e-12:
+            error, middle = tried, (w + nxt) / 2
+    return round(error, 9), middle
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
