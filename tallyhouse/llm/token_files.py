@@ -31,6 +31,8 @@ INDEX = np.dtype([("at", "<u8"), ("size", "<u4"), ("ids", "<u4"), ("doc_id", "<i
 #: The dictionary is trained on the ids of so many documents at most, and so many bytes of each.
 TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
 LEVEL = 3
+#: Rows that are encoded at once, and letters of a text by which the rows of one id are dealt over shards.
+BATCH_ROWS, TIE_LETTERS = 2048, 32
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -63,21 +65,25 @@ def dictionary_hash(data: bytes) -> int:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary from a bounded sample by hash of the id; raw sample bytes where there are too few to train on."""
+    """A dictionary from a bounded sample, the texts of the ids with the least hashes; raw sample bytes where there are too few to train on."""
     import zstandard
 
-    rows = docs.count()
+    rows, h = docs.count(), F.xxhash64("doc_id", F.lit("dictionary"))
     share = min(1.0, 2 * TRAIN_DOCS / max(rows, 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(TRAIN_DOCS)
+    # So few ids are sorted that one task can; an id counts once, however many rows it has.
+    near = docs.select(h.alias("h")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    least = [r.h for r in near.distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
+    if not least:
+        return b""
+    picked = docs.withColumn("h", h).where((F.col("h") <= least[-1]) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1))
+    picked = picked.groupBy("h").agg(F.min("text").alias("text"))
 
     def ids(batches):
         for batch in slices(batches):
-            found = encoder(tokenizer).encode(batch.column("text").to_pylist())
+            found = encoder(tokenizer).encode(batch.column("text"))
             yield pa.record_batch([pa.array([(x + end_id.to_bytes(4, "little"))[:TRAIN_BYTES] for x in found], pa.binary())], ["ids"])
 
-    samples = [bytes(r.ids) for r in picked.select("text").mapInArrow(ids, "ids binary").collect()]
-    if not samples:
-        return b""
+    samples = sorted(bytes(r.ids) for r in picked.select("text").mapInArrow(ids, "ids binary").collect())
     size = min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -118,8 +124,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         def chunks():
             compressor, at = _compressor(dictionary), struct.calcsize(HEADER)
             yield struct.pack(HEADER, MAGIC, key)
-            for batch in slices(batches):
-                ids = encoder(tokenizer).encode(batch.column("text").to_pylist())
+            for batch in slices(batches, BATCH_ROWS):
+                ids = encoder(tokenizer).encode(batch.column("text"))
                 for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                     frame = compressor.compress(x + end)
                     index.append((at, len(frame), len(x) // 4 + 1, doc_id or 0, doc_id is None))
@@ -134,7 +140,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         yield pa.record_batch([pa.array([x], pa.int64()) for x in (shard, *totals, size)], ["shard", "docs", "ids", "bytes"])
 
     with arrow_batches(spark):
-        done = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, docs long, ids long, bytes long").collect()
+        done = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, TIE_LETTERS)).sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, docs long, ids long, bytes long").collect()
     before, listed = 0, []
     for row in sorted(done, key=lambda r: r.shard):
         if row.docs:

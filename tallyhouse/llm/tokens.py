@@ -1,29 +1,30 @@
 """Token ids of whole texts with the tokenizers library, each distinct word encoded once.
 
 Both supported kinds of tokenizer never let a token cross a lone space or newline, so texts are cut
-there with NumPy, distinct words are found by two 64-bit hashes, and only words that a worker has
-not met before go to the library. Any other kind of tokenizer or text is encoded whole.
+there by Arrow, whose hash tables find the distinct words of a block and those that a worker has
+met before; only the others go to the library. Any other kind of tokenizer or text is encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np
-
-#: Distinct words kept by one Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
-#: Bytes of text that NumPy works on at a time; a longer word makes a longer block.
-BLOCK_BYTES = 1 << 20
-
-_TWO_SPACES = re.compile(r"\s\s")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words kept by one worker, some 10 MB; beyond it the half that fewer blocks had goes.
+CACHE_WORDS = 300_000
+#: Bytes of text that are cut into words at a time; a longer word makes a longer block.
+BLOCK_BYTES = 4 << 20
+
+#: White space of any alphabet.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+#: Runs of white space, and white space at an end, have tokens of their own.
+_SPACED = rf"\A{_SPACE}|{_SPACE}{_SPACE}|{_SPACE}\z"
 _WORD_NORMALIZERS = ("NFC", "Replace", "Lowercase")
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: What stands before a word: a space, a newline, or nothing.
-_AFTER_SPACE, _AFTER_LINE, _FIRST = 32, 10, 0
 
 
 def _kind(spec: dict) -> str:
@@ -48,37 +49,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest block needs."""
-
-    def __init__(self, odd: np.uint64):
-        self.odd, self.inverse = int(odd), pow(int(odd), -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (self.odd, self.inverse))
-        return self.up, self.down
-
-
-_POWERS = [_Powers(x) for x in _ODD]
-
-
-def _word_hashes(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    out, values = [], block.astype(np.uint64) + np.uint64(1)
-    for powers in _POWERS:
-        up, down = powers.upto(len(block))
-        sums = np.empty(len(block) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(values * up[: len(block)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        out.append(h ^ (h >> np.uint64(32)))
-    return out
-
-
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -92,127 +62,132 @@ class Encoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _core(self, core: str) -> bytes:
-        """Ids of letters or signs that the tokenizer takes as one unit."""
-        found = self.cores.get(core)
-        if found is None:
-            shown = core.lower() if self.kind == "word" else core
-            shown = shown.encode().decode("latin-1").translate(self.letters)
-            found = self.cores[core] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
-        return found
-
-    def _word(self, raw: bytes, before: int) -> bytes:
-        word = raw.decode("utf-8", "surrogatepass")
-        lead = " " if before == _AFTER_SPACE and self.kind == "byte" else ""
-        head = self._core("\n") if before == _AFTER_LINE and self.kind == "byte" else b""
+        self.line = self._ids("\n")
+        self.tails: dict[str, list[int]] = {}
+        # The words that were met, how many blocks had each, and where its ids lie in the pool.
+        self.words, self.met = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.starts, self.counts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word that follows a space, or with its newline of one that begins a line."""
+        lead, head = " " if self.kind == "byte" else "", []
+        if word[:1] == "\n":
+            word, lead, head = word[1:], "", self.line
         core = word.rstrip(".,")
         # Letters below U+0250 are composed already and have plain lower-case forms, but for U+0130.
-        if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
+        if not core.isalpha() or not core.isascii() and (max(core) >= "ɐ" or "İ" in core):
+            return head + self._ids(lead + word) if word else head
+        shown = core.lower() if self.kind == "word" else core
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.letters)
+        ids = [x.id for x in self.model.tokenize("Ġ" + shown if lead else shown)]
+        if len(core) < len(word):
             tail = word[len(core) :]
-            return head + self._core(lead + core) + (self._core(tail) if tail else b"")
-        return head + self._whole(lead + word)
-
-    def _block(self, block: np.ndarray, before_first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the words, number of ids of each word, and all ids."""
-        apart = (block == 32) | (block == 10)
-        padded = np.r_[True, apart, True]
-        starts, ends = np.flatnonzero(padded[:-1] & ~padded[1:]), np.flatnonzero(~padded[:-1] & padded[1:])
-        if not len(starts):
-            return starts, starts, np.zeros(0, np.uint32)
-        first, second = _word_hashes(block, starts, ends)
-        data, back = block.tobytes(), 0
-        if self.kind == "byte":
-            # What stands before a word belongs to its key and changes its ids.
-            data, back = bytes([before_first]) + data, 1
-            first = first + np.frombuffer(data, np.uint8)[starts].astype(np.uint64) * _ODD[1]
-        _, at, inverse = np.unique(first, return_index=True, return_inverse=True)
-        assert (second == second[at][inverse]).all(), "two words share a hash"
-        keys = [data[s:e] for s, e in zip(starts[at].tolist(), (ends[at] + back).tolist(), strict=True)]
-        ids = list(map(self.words.get, keys))
-        for k, got in enumerate(ids):
-            if got is None:
-                key = keys[k]
-                ids[k] = self.words[key] = self._word(key[back:], key[0] if back else _FIRST)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        counts = sizes[inverse]
-        shift = (np.cumsum(sizes) - sizes)[inverse] - (np.cumsum(counts) - counts)
-        return starts, counts, pool[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail)
+            ids += self.tails[tail]
+        return head + ids
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some distinct words stands among the known ones, which it joins if it is new."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            found, counts = array("I"), []
+            for word in fresh.to_pylist():
+                ids = self._word(word)
+                counts.append(len(ids))
+                found.extend(ids)
+            at[new] = len(self.words) + np.arange(len(new))
+            sizes = np.array(counts, np.int64)
+            self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(sizes) - sizes]
+            self.counts, self.met = np.r_[self.counts, sizes], np.r_[self.met, np.zeros(len(new), np.int64)]
+            self.pool = np.r_[self.pool, np.frombuffer(found, np.uint32)]
+            self.words = pa.concat_arrays([self.words, fresh])
+        self.met[at] += 1
+        return at
+
+    def _forget(self) -> None:
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.cores.clear()
-        out: list[bytes] = [b""] * len(texts)
-        quick: list[tuple[int, bytes]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            # Signs that stand apart only in whole texts: runs of spaces, spaces at an end, special tokens with spaces.
-            odd = self.kind == "whole" or any(x in text for x in self.special)
-            if odd or self.kind == "byte" and (text[0].isspace() or text[-1].isspace() or _TWO_SPACES.search(text)):
-                out[i] = self._whole(text)
-            else:
-                quick.append((i, text.encode("utf-8", "surrogatepass")))
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2])
+            starts, counts = self.starts[keep], self.counts[keep]
+            self.words, self.met, self.counts = self.words.take(pa.array(keep)), self.met[keep] // 2, counts
+            self.pool = self.pool[_spans(starts, counts)]
+            self.starts = np.cumsum(counts) - counts
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts that each begin with a space or newline, and where each text's ids begin and end."""
+        self._forget()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.kind == "byte" else " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        # What stands before the first of two separators is no word and has no ids.
+        words = coded.dictionary
+        real = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)
+        starts, counts = np.zeros((2, len(words)), np.int64)
+        at = self._places(words.take(pa.array(real)))
+        starts[real], counts[real] = self.starts[at], self.counts[at]
+        which = coded.indices.to_numpy()
+        ids = self.pool[_spans(starts[which], counts[which])]
+        ends = np.r_[0, np.cumsum(counts[which])]
+        offsets = lists.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        odd = np.full(len(texts), self.kind == "whole")
+        # Special tokens may have spaces around or in them that count.
+        for sign in self.special:
+            odd |= pc.match_substring(texts, sign).to_numpy(zero_copy_only=False)
+        if self.kind == "byte":
+            odd |= pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False)
+        out = [b""] * len(texts)
+        for i in np.flatnonzero(odd & (sizes > 0)).tolist():
+            out[i] = array("I", self._ids(texts[i].as_py())).tobytes()
+        quick = np.flatnonzero(~odd & (sizes > 0))
+        long = sizes[quick] > BLOCK_BYTES
+        for i in quick[long].tolist():
+            out[i] = self._long(texts[i].as_py())
+        quick = quick[~long]
+        total = np.cumsum(sizes[quick])
         at = 0
         while at < len(quick):
-            upto, size = at, 0
-            while upto < len(quick) and (upto == at or size + len(quick[upto][1]) < BLOCK_BYTES):
-                size += len(quick[upto][1]) + 1
-                upto += 1
-            for (i, _), ids in zip(quick[at:upto], self._several([x for _, x in quick[at:upto]]), strict=True):
-                out[i] = ids
+            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+            mine = quick[at:upto]
+            # A first word is one after a newline, whose ids are dropped again.
+            ids, ends = self._block(pc.binary_join_element_wise("\n", texts.take(pa.array(mine)), ""))
+            drop = len(self.line) if self.kind == "byte" else 0
+            for k, i in enumerate(mine.tolist()):
+                out[i] = ids[ends[k] + drop : ends[k + 1]].tobytes()
             at = upto
         return out
 
-    def _several(self, texts: list[bytes]) -> list[bytes]:
-        if len(texts) == 1 and len(texts[0]) > BLOCK_BYTES:
-            return [self._long(texts[0])]
-        begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        block = np.frombuffer(b"\x00".join(texts), np.uint8).copy()
-        # The byte between two texts is a separator that makes the next word a first one.
-        block[begins[1:-1] - 1] = 10
-        if self.kind == "byte":
-            starts, counts, ids = self._block_of(block, begins)
-        else:
-            starts, counts, ids = self._block(block, _FIRST)
-        ends = np.r_[0, np.cumsum(counts)]
-        cut = ends[np.searchsorted(starts, begins)]
-        return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-    def _block_of(self, block: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Like _block; a text's first word was keyed as one after a newline, whose id is dropped again."""
-        starts, counts, ids = self._block(block, _AFTER_LINE)
-        lead = len(self._core("\n")) // 4
-        first = np.searchsorted(starts, begins[:-1])
-        keep = np.ones(len(ids), bool)
-        at = (np.cumsum(counts) - counts)[first]
-        for k in range(lead):
-            keep[at + k] = False
-        counts = counts.copy()
-        counts[first] -= lead
-        return starts, counts, ids[keep]
-
-    def _long(self, text: bytes) -> bytes:
+    def _long(self, text: str) -> bytes:
         """A text longer than a block, cut before separators."""
-        out, at, before = [], 0, _FIRST
+        out, at = [], 0
         while at < len(text):
             upto = min(len(text), at + BLOCK_BYTES)
             if upto < len(text):
-                stops = [x for x in (text.find(b" ", upto), text.find(b"\n", upto)) if x >= 0]
-                upto = min(stops, default=len(text))
-            part = np.frombuffer(text, np.uint8, upto - at, at)
-            out.append(self._block(part, before)[2].tobytes())
+                upto = min((x for x in (text.find(" ", upto), text.find("\n", upto)) if x >= 0), default=len(text))
+            ids, _ = self._block(pa.array([text[at:upto] if at else "\n" + text[:upto]], pa.string()))
+            out.append(ids[0 if at or self.kind == "word" else len(self.line) :].tobytes())
             at = upto
         return b"".join(out)
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
