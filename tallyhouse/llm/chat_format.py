@@ -1,13 +1,17 @@
 """Chat formatting: the fingerprint of a record's nested field paths selects a declarative mapping to canonical turns.
 
-Records come as rows of typed columns or as JSON texts. The sorted field paths (arrays written as
-[]) are hashed; the registry has, for each known fingerprint, where the turns lie and which fields
-give role and text. Turns are written with a template whose control strings are escaped inside
-texts, together with the spans that the loss covers, and can be read back. DataFrame functions alone.
+Records come as rows of typed columns or as JSON texts. A record's field paths (arrays written as
+[], all their elements together, fields that no mapping names left out) are sorted and hashed; the
+registry has, for each fingerprint that a mapping's fields can have, where the turns lie and which
+fields give role and text. Turns are written with a template whose control strings are escaped
+inside texts, together with the spans that the loss covers, and can be read back. DataFrame
+functions alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +36,10 @@ class Turn:
 
 @dataclass(frozen=True)
 class Mapping:
-    """Either fixed turns, or an array of turns (or a row for each turn) with fields of role and text."""
+    """Either fixed turns, or an array of turns (or a row for each turn) with fields of role and text.
+
+    `optional` are paths that a record may lack, each choice of which is another fingerprint.
+    """
 
     name: str
     paths: tuple[str, ...]
@@ -42,25 +49,30 @@ class Mapping:
     text: str = ""
     row_key: str = ""
     row_order: str = ""
+    optional: tuple[str, ...] = ()
 
 
-#: Layouts by their field paths; which optional fields a record has makes another fingerprint.
+#: Layouts by their field paths. In rows of typed columns a null is a field that is lacking.
 MAPPINGS = (
-    Mapping("turn_rows", ("conv_id", "role", "text", "turn"), role="role", text="text", row_key="conv_id", row_order="turn"),
+    Mapping("turn_rows", (), role="role", text="text", row_key="conv_id", row_order="turn", optional=("conv_id", "role", "text", "turn")),
+    Mapping("dialogue_rows", ("dialogue_id",), role="speaker", text="utterance", row_key="dialogue_id", row_order="position", optional=("speaker", "utterance", "position")),
     Mapping("messages", ("messages[].content", "messages[].role"), array="messages", role="role", text="content"),
+    Mapping("nested_messages", ("conversation.messages[].content", "conversation.messages[].role"), array="conversation.messages", role="role", text="content"),
     Mapping("shared", ("conversations[].from", "conversations[].value"), array="conversations", role="from", text="value"),
-    Mapping("prompt_response", ("prompt", "response"), turns=(Turn("user", ("prompt",)), Turn("assistant", ("response",)))),
+    Mapping("prompt_response", ("prompt", "response"), turns=(Turn("system", ("system",)), Turn("user", ("prompt",)), Turn("assistant", ("response",))), optional=("system",)),
     Mapping("prompt_completion", ("completion", "prompt"), turns=(Turn("user", ("prompt",)), Turn("assistant", ("completion",)))),
-    Mapping("system_prompt_response", ("prompt", "response", "system"), turns=(Turn("system", ("system",)), Turn("user", ("prompt",)), Turn("assistant", ("response",)))),
-    Mapping("instruction", ("instruction", "output"), turns=(Turn("user", ("instruction",)), Turn("assistant", ("output",)))),
-    Mapping("instruction_input", ("input", "instruction", "output"), turns=(Turn("user", ("instruction", "input")), Turn("assistant", ("output",)))),
+    Mapping("instruction", ("instruction", "output"), turns=(Turn("system", ("system",)), Turn("user", ("instruction",)), Turn("assistant", ("output",))), optional=("system",)),
+    Mapping("instruction_input", ("input", "instruction", "output"), turns=(Turn("system", ("system",)), Turn("user", ("instruction", "input")), Turn("assistant", ("output",))), optional=("system",)),
     Mapping("question_answer", ("answer", "question"), turns=(Turn("user", ("question",)), Turn("assistant", ("answer",)))),
 )
+#: Levels of objects and arrays that a record's paths go down; what lies deeper counts as one field.
+DEPTH = 12
 
 TURNS = "array<struct<role:string,text:string>>"
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
+    """The paths of a schema, sorted."""
     if isinstance(kind, T.StructType):
         return sorted(p for f in kind for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
     if isinstance(kind, T.ArrayType):
@@ -68,16 +80,48 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
+def named_paths(mappings: tuple[Mapping, ...]) -> list[str]:
+    return sorted({p for m in mappings for p in (*m.paths, *m.optional)})
+
+
+def fingerprint(paths: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The hash of those of some paths that a mapping names."""
+    known = F.array(*[F.lit(p) for p in named_paths(mappings)])
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"), 256)
+
+
+def registry(mappings: tuple[Mapping, ...]) -> dict[str, str]:
+    """Each fingerprint that a mapping's fields can have, and the mapping's name; of several mappings the first."""
+    found: dict[str, str] = {}
+    for m in mappings:
+        for n in range(len(m.optional) + 1):
+            for some in itertools.combinations(m.optional, n):
+                paths = sorted({*m.paths, *some})
+                found.setdefault(hashlib.sha256("\n".join(paths).encode()).hexdigest(), m.name)
+    return found
+
+
+def _layout(mark: Column, mappings: tuple[Mapping, ...]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in registry(mappings).items() for x in kv]), mark)
 
 
 def json_paths(record: Column) -> Column:
-    """Field paths of a JSON record: its keys, with the keys of an object or of an array's first object below them."""
-    below = lambda k, end: F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit(end))))
-    under = lambda k, end, mark: F.transform(below(k, end), lambda x: F.concat(k, F.lit(mark), x))
-    one = lambda k: F.coalesce(under(k, "'][0]", "[]."), under(k, "']", "."), F.array(k))
-    return F.flatten(F.transform(F.json_object_keys(record), one))
+    """Field paths of a JSON object at any depth up to DEPTH, sorted; null for anything else."""
+
+    def expanded(p: Column) -> Column:
+        kind = F.schema_of_variant(p["v"])
+        under = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+        dot = F.when(p["path"] == "", "").otherwise(".")
+        keys = F.transform(F.map_entries(p["v"].cast("map<string,variant>")), lambda e: under(F.concat(p["path"], dot, e["key"]), e["value"]))
+        items = F.transform(p["v"].cast("array<variant>"), lambda e: under(F.concat(p["path"], F.lit("[]")), e))
+        return F.when(F.startswith(kind, F.lit("OBJECT<")), keys).when(F.startswith(kind, F.lit("ARRAY<")), items).otherwise(F.array(p))
+
+    whole = F.try_parse_json(record)
+    level = F.array(F.struct(F.lit("").alias("path"), whole.alias("v")))
+    for _ in range(DEPTH):
+        level = F.flatten(F.transform(level, expanded))
+    paths = F.array_sort(F.array_distinct(F.transform(level, lambda p: p["path"])))
+    return F.when(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT<")), paths)
 
 
 def _canonical_role(role: Column) -> Column:
@@ -96,37 +140,57 @@ def _array_turns(array: Column, m: Mapping) -> Column:
 
 def turns_of_json(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """All columns with fingerprint, layout and turns; layout and turns are null for an unknown or malformed record."""
-    rows = records.withColumn("fingerprint", fingerprint(json_paths(F.col(column))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for m in mappings:
-        if m.row_key:
-            continue
-        mine = F.col("fingerprint") == fingerprint(F.array(*[F.lit(p) for p in m.paths]))
+    mine = tuple(m for m in mappings if not m.row_key)
+    rows = records.withColumn("fingerprint", fingerprint(json_paths(F.col(column)), mine))
+    rows = rows.withColumn("layout", _layout(F.col("fingerprint"), mine))
+    turns = F.lit(None).cast(TURNS)
+    for m in mine:
         if m.array:
-            read = F.from_json(column, f"`{m.array}` array<struct<`{m.role}`:string,`{m.text}`:string>>")[m.array]
+            *outer, array = m.array.split(".")
+            kind = f"`{array}` array<struct<`{m.role}`:string,`{m.text}`:string>>"
+            for name in reversed(outer):
+                kind = f"`{name}` struct<{kind.replace('` ', '`:', 1)}>"
+            read = F.from_json(column, kind)
+            for name in (*outer, array):
+                read = read[name]
             made = _array_turns(read, m)
         else:
-            read = F.from_json(column, ", ".join(f"`{p}` string" for p in m.paths))
+            read = F.from_json(column, ", ".join(f"`{p}` string" for p in (*m.paths, *m.optional)))
             joined = lambda t, read=read: F.array_join(F.filter(F.array(*[read[f] for f in t.fields]), lambda x: F.length(x) > 0), "\n\n")
-            made = F.array(*[_turn(F.lit(t.role), joined(t)) for t in m.turns])
-        layout, turns = F.when(mine, F.lit(m.name)).otherwise(layout), F.when(mine, made).otherwise(turns)
-    return rows.withColumn("layout", layout).withColumn("turns", turns)
+            # A turn of optional fields is there if one of them is.
+            there = lambda t, m=m, read=read: F.lit(True) if set(t.fields) - set(m.optional) else F.coalesce(*[read[f] for f in t.fields]).isNotNull()
+            made = F.array_compact(F.array(*[F.when(there(t), _turn(F.lit(t.role), joined(t))) for t in m.turns]))
+        turns = F.when(F.col("layout") == m.name, made).otherwise(turns)
+    return rows.withColumn("turns", turns)
 
 
 def turns_of_rows(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """key, turns of a table with a row for each turn, whose columns select the mapping.
+    """key, turns of a table with a row for each turn; the fingerprint of a row's fields that aren't null selects its mapping.
 
     Rows of one key are ordered by turn, then role, then text, nulls first; repeated rows are
     repeated turns; a null text or role is empty; a null key is a conversation of its own; an empty
-    table has no conversations. Columns that no mapping names don't belong to the record.
+    table has no conversations. Roles are kept as they are written. Columns that no mapping names
+    don't belong to the record. Rows whose fields fit no one mapping stop the run with an error.
+    Keys are strings where a table has rows of several layouts, else of their own type.
     """
-    own = {m.paths: m for m in mappings if m.row_key and set(m.paths) <= set(rows.columns)}
+    own = tuple(m for m in mappings if m.row_key and {*m.paths, *m.optional} <= set(rows.columns))
     if not own:
         raise ValueError(f"no mapping for the fields {sorted(rows.columns)}")
-    m = own[max(own, key=len)]
-    turn = F.struct(F.col(m.row_order).alias("at"), F.coalesce(F.col(m.role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(m.text).cast("string"), F.lit("")).alias("text"))
+    paths = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), p) for p in named_paths(own)]))
+    layout, several = _layout(fingerprint(paths, own), own), len(own) > 1
+
+    def field(pick, kind: str | None = None) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast(kind) if kind else F.col(pick(own[0])))
+        for m in own:
+            out = out.when(F.col("_layout") == m.name, F.col(pick(m)).cast(kind) if kind else F.col(pick(m)))
+        return out.otherwise(F.raise_error(F.lit("a row fits no mapping")).cast(kind) if kind else F.raise_error(F.lit("a row fits no mapping")))
+
+    text = lambda pick: F.coalesce(field(pick, "string"), F.lit("")).alias
+    turn = F.struct(field(lambda m: m.row_order, "double" if several else None).alias("at"), text(lambda m: m.role)("role"), text(lambda m: m.text)("text"))
     # One conversation is one output row, so its turns have to meet; nothing else does.
-    found = rows.groupBy(F.col(m.row_key).alias("key")).agg(F.array_sort(F.collect_list(turn)).alias("x"))
+    rows = rows.withColumn("_layout", layout)
+    key = field(lambda m: m.row_key, "string" if several else None)
+    found = rows.groupBy(F.col("_layout").alias("_l") if several else F.lit(0).alias("_l"), key.alias("key")).agg(F.array_sort(F.collect_list(turn)).alias("x"))
     return found.select("key", F.transform("x", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
