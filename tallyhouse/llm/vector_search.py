@@ -2,8 +2,9 @@
 
 A table turns unit vectors by a pseudo-rotation (three rounds of random signs and a fast Hadamard
 transform) and posts each under the signed axis that it is nearest to. A query looks into the
-`probes` axes nearest to it in each of `tables` tables; all that it meets there is ranked by the
-exact inner product. Where norms differ, a coordinate that makes all norms equal is added for the
+`probes` axes nearest to it in each of `tables` tables, and into more of the first one's, nearest
+first, until those hold EXACT_ROWS vectors; all that it meets there is ranked by the exact inner
+product. Where norms differ, a coordinate that makes all norms equal is added for the
 hashing, so that the largest inner product stays the nearest direction.
 
 Buckets are compared in blocks of bounded size, so a bucket that holds a third of all vectors is
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import slices, staged, table
 
 TABLES, PROBES = 7, 13
-#: Vectors up to which all are one bucket, and candidates and queries of a block.
-EXACT_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048, 1024
+#: Vectors that a query's buckets in the first table hold at least (of fewer, all), and candidates and queries of a block.
+EXACT_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 512, 2048, 1024
 #: Tasks among which one query's partial results are merged first.
 MERGE_PARTS = 8
 
@@ -70,28 +71,49 @@ def taking_part(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def _posted(rows: DataFrame, plan: dict, query: bool) -> DataFrame:
-    """vec_id, v, bucket: a row for each table, or for each probe of a query."""
+def _codes(batch: pa.RecordBatch, dim: int, plan: dict, probes: int) -> tuple[pa.RecordBatch, np.ndarray, int]:
+    """The rows of one length, the buckets of each in every table (nearest first), and how many buckets a table has."""
+    part = batch.filter(pa.array(np.asarray(batch.column("dim")) == dim))
+    _, top, uneven = plan[dim]
+    x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+    y = _hashed(x, top, uneven, probes > 1)
+    size = 2 * y.shape[1]
+    return part, np.stack([t * size + axes(y, t, min(probes, size)) for t in range(TABLES)], 1) + (dim << 32), size
+
+
+def _rows_of(part: pa.RecordBatch, which: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([part.column("vec_id").take(pa.array(which)), part.column("v").take(pa.array(which)), pa.array(bucket)], ["vec_id", "v", "bucket"])
+
+
+def _posted(rows: DataFrame, plan: dict) -> DataFrame:
+    """vec_id, v, bucket: a row for each table."""
 
     def work(batches):
         for batch in slices(batches, 1024):
-            dims = np.asarray(batch.column("dim"))
-            for dim in np.unique(dims):
-                rows_, top, uneven = plan[int(dim)]
-                part = batch.filter(pa.array(dims == dim))
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                if rows_ <= EXACT_ROWS:
-                    codes = np.zeros((part.num_rows, 1), np.int64)
-                else:
-                    y = _hashed(x, top, uneven, query)
-                    codes = np.concatenate([t * 2 * y.shape[1] + axes(y, t, PROBES if query else 1) for t in range(TABLES)], 1)
-                codes = codes + (int(dim) << 32)
-                every = np.repeat(np.arange(part.num_rows), codes.shape[1])
-                yield pa.record_batch([part.column("vec_id").take(pa.array(every)), part.column("v").take(pa.array(every)), pa.array(codes.ravel())], ["vec_id", "v", "bucket"])
+            for dim in np.unique(np.asarray(batch.column("dim"))).tolist():
+                part, codes, _ = _codes(batch, dim, plan, 1)
+                yield _rows_of(part, np.repeat(np.arange(part.num_rows), TABLES), codes.ravel())
 
     return rows.mapInArrow(work, "vec_id long, v array<double>, bucket long")
 
 
+def _probing(queries: DataFrame, plan: dict, held: dict[int, int]) -> DataFrame:
+    """vec_id, v, bucket: a row for each bucket that a query looks into; `held` has the rows of each bucket."""
+
+    def work(batches):
+        for batch in slices(batches, 1024):
+            for dim in np.unique(np.asarray(batch.column("dim"))).tolist():
+                part, codes, size = _codes(batch, dim, plan, 1 << 30)
+                wanted = np.zeros(codes.shape, bool)
+                wanted[:, :, :PROBES] = True
+                sizes = np.array([held.get((dim << 32) + k, 0) for k in range(size)], np.int64)[codes[:, 0] - (dim << 32)]
+                wanted[:, 0] |= np.cumsum(sizes, 1) - sizes < EXACT_ROWS
+                which, _, _ = np.nonzero(wanted)
+                yield _rows_of(part, which, codes[wanted])
+
+    return queries.mapInArrow(work, "vec_id long, v array<double>, bucket long")
+
+
 def best_of(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each query's k best other ids and their best exact inner products, best first, ties to the smaller id."""
     out_ids, out_scores = [], []
@@ -174,11 +196,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stats = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.min(norm).alias("low")).collect()  # a row for each length of vector
     plan = {r.dim: (r.n, r.top, r.low < r.top * (1 - 1e-4)) for r in stats}
-    asking = rows.where("asks").drop("asks")
-    found = _compared(*_blocks(_posted(asking, plan, True), _posted(rows.drop("asks"), plan, False)), k)
+    asking, posted = rows.where("asks").drop("asks"), _posted(rows.drop("asks"), plan)
+    # A number for each bucket: tables times twice the padded length, for each length of vectors there is.
+    held = {r.bucket: r.n for r in posted.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    found = _compared(*_blocks(_probing(asking, plan, held), posted), k)
     found = _merged(found, ["query_id", F.pmod(F.hash("ids"), F.lit(MERGE_PARTS))], k)
     found = staged(_merged(found, ["query_id"], k), "found")
-    # Where buckets held too little: all rows, in blocks.
+    # Where buckets held too little: all rows, in blocks. Of EXACT_ROWS or fewer a query has met all.
     few = asking.join(found.where(F.size("ids") >= k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     if plan and min(n for n, _, _ in plan.values()) <= EXACT_ROWS:
         exact = [d for d, (n, _, _) in plan.items() if n <= EXACT_ROWS]
