@@ -38,7 +38,7 @@ class Rules:
     max_repeat_percent: int = 30
     max_line_docs: int = 20
     max_line_share: float = 0.10
-    min_kept_share: float = 0.10
+    min_kept_share: float = 0.25
 
 
 def _let(value: Column, body) -> Column:
