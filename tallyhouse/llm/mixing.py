@@ -75,8 +75,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     # Written, so that the planner knows its size and broadcasts it only if it is small; a hot source is split by AQE.
     known = staged(known, "rates")
     rows = docs.join(known, docs["source"].cast("string").eqNullSafe(known._source)).drop("_source")
-    one = lambda j: F.size(F.filter("_d.cdf", lambda c: c <= uniform(F.col("doc_id"), F.lit(seed), j)))
-    rows = rows.withColumn("_n", F.when(F.col("rate") > 0, F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_d.parts")), one), F.lit(0), lambda a, x: a + x)).otherwise(0))
+    # Numbers are drawn once and then looked up, as a lambda's body is evaluated for every element.
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_d.parts")), lambda j: uniform(F.col("doc_id"), F.lit(seed), j))
+    count = F.aggregate(F.transform(drawn, lambda u: F.size(F.filter("_d.cdf", lambda c: c <= u))), F.lit(0), lambda a, x: a + x)
+    rows = rows.withColumn("_n", F.when(F.col("rate") > 0, count).otherwise(0))
     rows = rows.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_d", "_n")
     rows = rows.withColumn("mix_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed), "copy", F.lit("order")))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
