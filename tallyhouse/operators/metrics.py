@@ -47,10 +47,14 @@ def first_last_medians(bests: DataFrame, n: int = 5, by: str = "exercise_name")
     if not 1 <= n <= 50:
         raise ValueError("invalid_session_count")
     order = ["started_at", "session_id"]
-    up = W.Window.partitionBy(by).orderBy(*order)
-    down = W.Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])
-    rows = bests.withColumn("i", F.row_number().over(up)).withColumn("j", F.row_number().over(down))
-    out = rows.groupBy(by).agg(F.count("*").alias("sessions"), F.median(F.when(F.col("i") <= n, F.col("best"))).alias("first_median"), F.median(F.when(F.col("j") <= n, F.col("best"))).alias("last_median"))
+
+    def side(name: str, *by_time: Column) -> DataFrame:
+        # Ranked apart and cut at once, so that no task sorts more than n rows of each of its groups' parts.
+        placed = bests.withColumn("_i", F.row_number().over(W.Window.partitionBy(by).orderBy(*by_time))).where(F.col("_i") <= n)
+        return placed.groupBy(by).agg(F.median("best").alias(name))
+
+    counted = bests.groupBy(by).agg(F.count("*").alias("sessions"))
+    out = counted.join(side("first_median", *[F.col(c) for c in order]), by).join(side("last_median", *[F.desc(c) for c in order]), by)
     return out.withColumn("window", F.least(F.col("sessions"), F.lit(n))).withColumn("change_pct", percent_change(F.col("first_median"), F.col("last_median")))
 
 
@@ -75,16 +79,28 @@ def gaps(sessions: DataFrame, by: str, session: str | None = None) -> DataFrame:
 def plateau_windows(series: DataFrame, by: str, value: str = "value") -> DataFrame:
     """All qualifying windows of neighbouring sessions: long enough, level enough, narrow enough.
 
-    A window is a pair of sessions of one series. The series' values travel as one array, so a
-    window is a slice of it and nothing is joined but positions that can qualify at all.
+    A window is a pair of sessions of one series. From each session on, one pass finds how far a
+    window can reach: its span over its largest value is a lower bound of its range, and only
+    grows. Rows carry that reach and not the series, and windows beyond it are never made.
     """
     whole = series.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("started_at", F.col(value).alias("v")))).alias("_s"))
     n = F.size("_s")
-    starts = whole.select(by, "_s", F.explode(F.sequence(F.lit(1), F.greatest(n - PLATEAU_SESSIONS + 1, F.lit(1)))).alias("i")).where(n >= PLATEAU_SESSIONS)
-    windows = starts.select(by, "_s", "i", F.explode(F.sequence(F.col("i") + PLATEAU_SESSIONS - 1, n)).alias("j"))
-    at = lambda k: F.element_at("_s", k)["started_at"]
+    starts = whole.where(n >= PLATEAU_SESSIONS).select(by, "_s", F.explode(F.sequence(F.lit(1), n - PLATEAU_SESSIONS + 1)).alias("i"))
+    none = F.lit(None).cast("double")
+    begin = F.struct(none.alias("top"), none.alias("low"), F.lit(0).alias("reach"), F.lit(True).alias("on"))
+
+    def widen(a: Column, x: Column) -> Column:
+        v = x["v"].cast("double")
+        top, low = F.greatest(a["top"], v), F.least(a["low"], v)
+        on = a["on"] & F.coalesce((top > 0) & (100.0 * (top - low) <= (PLATEAU_RANGE + 1e-6) * top), F.lit(False))
+        return F.struct(top.alias("top"), low.alias("low"), (a["reach"] + on.cast("int")).alias("reach"), on.alias("on"))
+
+    rest = F.slice("_s", F.col("i"), n - F.col("i") + 1)
+    starts = starts.select(by, "i", F.slice("_s", F.col("i"), F.aggregate(rest, begin, widen)["reach"]).alias("_r")).where(F.size("_r") >= PLATEAU_SESSIONS)
+    windows = starts.withColumn("_n", F.explode(F.sequence(F.lit(PLATEAU_SESSIONS), F.size("_r")))).withColumn("j", F.col("i") + F.col("_n") - 1)
+    at = lambda k: F.element_at("_r", k - F.col("i") + 1)["started_at"]
     windows = windows.withColumn("days", F.floor((micros(at(F.col("j"))) - micros(at(F.col("i")))) / DAY_MICROS).cast("long")).where(F.col("days") >= PLATEAU_DAYS)
-    windows = windows.withColumn("_w", F.transform(F.slice("_s", F.col("i"), F.col("j") - F.col("i") + 1), lambda x: x["v"]))
+    windows = windows.withColumn("_w", F.transform(F.slice("_r", F.lit(1), F.col("_n")), lambda x: x["v"]))
     middle = lambda a: (F.element_at(F.array_sort(a), F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(F.array_sort(a), F.floor(F.size(a) / 2).cast("int") + 1)) / 2.0
     windows = windows.withColumns({"start_median": middle(F.slice("_w", 1, 3)), "end_median": middle(F.slice("_w", -3, 3)), "level": middle(F.col("_w"))})
     windows = windows.where("start_median > 0 AND level > 0")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 
 def finalised(components: DataFrame) -> DataFrame:
@@ -59,6 +60,17 @@ def bounded(values: Column, most: int = 20, ends: int = 10) -> Column:
     return F.struct(kept.alias("kept"), F.when(long, F.size(values) - 2 * ends).otherwise(0).alias("omitted"))
 
 
+def bounded_rows(rows: DataFrame, by: str, order: list[str], value: str, most: int = 20) -> DataFrame:
+    """by, kept, omitted: like bounded() for a table's groups, of any size: each end is ranked apart and cut at once."""
+    half = most // 2
+    end = lambda *cols: rows.select(by, F.struct(*dict.fromkeys([*order, value])).alias("_v"), F.row_number().over(W.Window.partitionBy(by).orderBy(*cols)).alias("_i")).where(F.col("_i") <= half)
+    counted = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    first, last = end(*order).withColumn("_at", F.col("_i")), end(*[F.desc(c) for c in order]).join(counted, by)
+    last = last.withColumn("_at", F.col("_n") - F.col("_i") + 1).where(F.col("_at") > half).drop("_n")
+    kept = first.unionByName(last).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_x"))
+    return counted.join(kept, by).select(by, F.transform("_x", lambda x: x["_v"][value]).alias("kept"), F.greatest(F.col("_n") - most, F.lit(0)).cast("int").alias("omitted"))
+
+
 def argument_status(statuses: Column) -> Column:
     """The worst of several arguments' states."""
     order = ["conflicting", "ambiguous", "missing", "resolved"]

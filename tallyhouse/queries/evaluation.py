@@ -171,6 +171,6 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
 @query("P17_bounded_lists", """WITH l AS (SELECT l_orderkey % 100 AS k, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY 1)
 SELECT k, (CASE WHEN len(v) > 20 THEN len(v) - 20 ELSE 0 END)::INT AS omitted, array_to_string(CASE WHEN len(v) > 20 THEN v[1:10] || v[-10:] ELSE v END, ',') AS kept FROM l""")
 def bounded_lists(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
-    rows = rows.withColumn("b", answers.bounded(F.transform("x", lambda v: v["l_linenumber"])))
-    return rows.select("k", "b.omitted", F.array_join("b.kept", ",").alias("kept"))
+    rows = read(spark, folder, "lineitem").select((F.col("l_orderkey") % 100).alias("k"), "l_linenumber", "l_partkey")
+    found = answers.bounded_rows(rows, "k", ["l_linenumber", "l_partkey"], "l_linenumber")
+    return found.select("k", "omitted", F.array_join("kept", ",").alias("kept"))

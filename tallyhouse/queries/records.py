@@ -161,7 +161,15 @@ def plateau_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(metrics.plateau_windows(period_series(spark, folder), "series"))
 
 
-@query("W6_plateau_candidates")
+#: Each series' windows by rank; the first is taken and those that overlap it go, until none is left.
+CANDIDATES = WINDOWS.replace("WITH series AS", "WITH RECURSIVE series AS", 1).replace("SELECT series, i::INT AS i", ", found AS (SELECT series, i::INT AS i", 1) + """),
+ranked AS (SELECT series, list(struct_pack(i := i, j := j) ORDER BY sessions DESC, days DESC, i) AS w FROM found GROUP BY 1),
+taken AS (SELECT series, w[1] AS t, list_filter(w, lambda x: x.j < w[1].i OR x.i > w[1].j) AS rest FROM ranked
+  UNION ALL SELECT series, rest[1], list_filter(rest, lambda x: x.j < rest[1].i OR x.i > rest[1].j) FROM taken WHERE len(rest) > 0)
+SELECT f.* FROM found f JOIN taken k ON f.series = k.series AND f.i = k.t.i AND f.j = k.t.j"""
+
+
+@query("W6_plateau_candidates", CANDIDATES)
 def plateau_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(metrics.plateau_candidates(period_series(spark, folder), "series"))
 

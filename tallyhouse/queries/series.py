@@ -73,18 +73,18 @@ def interval_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns(r6("start_median", "end_median", "range_pct", "change_pct"))
 
 
-@query("A13_before_and_during", SETS + """, weekly AS (SELECT exercise_name, date_trunc('week', started_at)::DATE AS week, count(*) FILTER (in_volume) AS sets, sum(CASE WHEN in_volume THEN weight * reps ELSE 0 END) AS volume,
+@query("A13_before_and_during", SETS + """, weekly AS (SELECT exercise_name, date_trunc('week', started_at)::DATE AS week, count(*) FILTER (in_volume) AS sets, sum(CASE WHEN in_volume THEN (weight * reps)::DECIMAL(18, 6) ELSE 0 END) AS volume,
   count(DISTINCT session_id) AS sessions FROM eligible GROUP BY ALL),
 filled AS (SELECT e.exercise_name, e.week, coalesce(w.sets, 0) AS sets, coalesce(w.volume, 0) AS volume, coalesce(w.sessions, 0) AS sessions
   FROM (SELECT exercise_name, unnest(generate_series(min(week)::TIMESTAMP, max(week)::TIMESTAMP, INTERVAL 7 DAYS))::DATE AS week FROM weekly GROUP BY 1) e LEFT JOIN weekly w USING (exercise_name, week)),
 p AS (SELECT exercise_name, DATE '1996-01-01' AS start_on, DATE '1996-06-30' AS end_on FROM weekly GROUP BY 1),
 parts AS (SELECT f.*, start_on, end_on, CASE WHEN week BETWEEN start_on AND end_on THEN 'during' WHEN week >= start_on - greatest(end_on - start_on, 1)::INT AND week < start_on THEN 'before' END AS part FROM filled f JOIN p USING (exercise_name))
-SELECT exercise_name, start_on::VARCHAR AS start_on, end_on::VARCHAR AS end_on, part, count(*)::BIGINT AS weeks, round(avg(sets), 6) AS mean_sets, round(avg(volume), 2) AS mean_volume, round(avg(sessions), 6) AS mean_sessions FROM parts WHERE part IS NOT NULL GROUP BY ALL""")
+SELECT exercise_name, start_on::VARCHAR AS start_on, end_on::VARCHAR AS end_on, part, count(*)::BIGINT AS weeks, round(avg(sets), 6) AS mean_sets, round((sum(volume) / count(*))::DOUBLE, 2) AS mean_volume, round(avg(sessions), 6) AS mean_sessions FROM parts WHERE part IS NOT NULL GROUP BY ALL""")
 def before_and_during(spark: SparkSession, folder: str) -> DataFrame:
     rows = flagged(spark, folder)
     periods = rows.select("exercise_name").distinct().withColumns({"start_on": F.to_date(F.lit("1996-01-01")), "end_on": F.to_date(F.lit("1996-06-30"))})
     found = timeseries.periods_load(rows, periods, "exercise_name")
-    return dates_as_text(found).withColumns({**r6("mean_sets", "mean_sessions"), "mean_volume": F.round("mean_volume", 2)})
+    return dates_as_text(found).withColumns({**r6("mean_sets", "mean_sessions"), "mean_volume": F.round(F.col("mean_volume").cast("double"), 2)})
 
 
 ASOF = SETS + """, s AS (SELECT DISTINCT exercise_name, started_at, session_id FROM sets), l AS (SELECT exercise_name, lag(started_at) OVER (PARTITION BY exercise_name ORDER BY started_at, session_id) AS gap_start, started_at AS gap_end FROM s),
