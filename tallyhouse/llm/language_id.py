@@ -73,6 +73,12 @@ def learn(docs: DataFrame, places: int = PLACES, rows: int = LEARN_ROWS) -> dict
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("profiles"))
     ids = docs.select("doc_id", "lang", order.alias("h"))
+    # A hash range that holds some more than `rows` of a language leaves few to be ranked.
+    n = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not n:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, 1.0 if v <= 2 * rows else (1.2 * rows + 200) / v)])
+    ids = ids.where(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
     # The bound is applied in 64 parts of a language first, so that no task sees a whole language.
     part = W.Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     ids = ids.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rows)
@@ -82,7 +88,7 @@ def learn(docs: DataFrame, places: int = PLACES, rows: int = LEARN_ROWS) -> dict
     if not last:
         return {}
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in last.items() for x in kv]), F.col("lang"))
-    sample = docs.where(order <= limit)
+    sample = docs.where((order <= limit) & (F.pmod(order, F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40)))
 
     def count(batches):
         for batch in slices(batches):
