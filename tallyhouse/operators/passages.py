@@ -97,7 +97,8 @@ def _pieces(paragraph: str, most: int) -> list[tuple[str, int]]:
 
 
 def chunk_paragraphs(paragraphs: list[str], rules: ChunkRules = ChunkRules()) -> list[dict]:
-    """A section's chunks: text, and numbers (from 1) of the first and last paragraph that each has words of.
+    """A section's chunks: text, numbers (from 1) of the first and last paragraph that each has words of, and how many of
+    its words aren't repeated from the chunk before.
 
     The cuts follow from the pieces' running number of words alone: a chunk ends with the piece
     that reaches the target, or before one that would go beyond the most. It begins with the last
@@ -118,26 +119,27 @@ def chunk_paragraphs(paragraphs: list[str], rules: ChunkRules = ChunkRules()) ->
             i, carried, due = j, 0, 1  # the words of the chunk before leave no room
             continue
         tail = made[-1]["text"].split()[-carried:] if carried else []
-        chunk = {"text": "\n\n".join([*([" ".join(tail)] if tail else []), *(p[0] for p in pieces[i:j])]), "first": made[-1]["last"] if carried else pieces[i][2], "last": pieces[j - 1][2]}
+        chunk = {"text": "\n\n".join([*([" ".join(tail)] if tail else []), *(p[0] for p in pieces[i:j])]), "first": made[-1]["last"] if carried else pieces[i][2], "last": pieces[j - 1][2], "fresh": upto[j] - upto[i]}
         size, short = carried + upto[j] - upto[i], j == len(pieces) and carried + upto[j] - upto[i] < rules.target
         if short and made and size - carried < rules.least and made[-1]["words"] + size - carried <= rules.most + rules.overlap:
             made[-1]["text"] += "\n\n" + " ".join(chunk["text"].split()[carried:])
             made[-1]["last"] = chunk["last"]
+            made[-1]["fresh"] += chunk["fresh"]
         else:
             made.append({**chunk, "words": size})
         i, carried, due = j, min(rules.overlap, size), int(size < rules.target)
-    return [{k: c[k] for k in ("text", "first", "last")} for c in made]
+    return [{k: c[k] for k in ("text", "first", "last", "fresh")} for c in made]
 
 
 def chunked(sections: DataFrame, key: list[str], paragraphs: str = "paragraphs", rules: ChunkRules = ChunkRules()) -> DataFrame:
-    """Rows of one section each, exploded to its chunks: key, nth, text, first, last, words and the text's hash."""
+    """Rows of one section each, exploded to its chunks: key, nth, text, first, last, fresh, words and the text's hash."""
 
-    @F.pandas_udf("array<struct<text:string,first:int,last:int>>")
+    @F.pandas_udf("array<struct<text:string,first:int,last:int,fresh:int>>")
     def pack(values: pd.Series) -> pd.Series:
         return values.map(lambda v: chunk_paragraphs([p for p in (v if v is not None else []) if p is not None], rules))
 
     rows = sections.select(*key, F.posexplode(pack(F.col(paragraphs))).alias("nth", "c"))
-    return rows.select(*key, "nth", "c.text", "c.first", "c.last", F.size(F.filter(F.split("c.text", r"\s+"), lambda w: w != "")).alias("words"), F.sha2("c.text", 256).alias("text_sha256"))
+    return rows.select(*key, "nth", "c.text", "c.first", "c.last", "c.fresh", F.size(F.filter(F.split("c.text", r"\s+"), lambda w: w != "")).alias("words"), F.sha2("c.text", 256).alias("text_sha256"))
 
 
 def overlap_loss(original: list[str], chunks: list[str], overlap: int) -> int:

@@ -6,12 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import metrics, passages, timeseries
-from tallyhouse.operators.evaluation import rankings_differ
+from tallyhouse.operators import evaluation, metrics, passages, retrieval, timeseries
 from tallyhouse.plans import questions
 from tallyhouse.plans.registry import query
 from tallyhouse.queries.records import dates_as_text, flagged, r6
-from tallyhouse.queries.retrieval import lexical
+
 from tallyhouse.sources.tables import SETS, log_sets, read
 
 
@@ -45,13 +44,6 @@ def excluded_sections(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").where(~F.exists(words, lambda w: F.contains(F.lower("source"), F.lower(w)))).select("doc_id")
 
 
-@query("W3_filled_months", """WITH m AS (SELECT o_orderpriority AS g, date_trunc('month', o_orderdate)::DATE AS m, count(*) AS n FROM orders WHERE o_orderkey % 97 = 0 GROUP BY ALL)
-SELECT e.g, e.m::VARCHAR AS month, coalesce(n, 0)::BIGINT AS n FROM (SELECT g, unnest(generate_series(min(m)::TIMESTAMP, max(m)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM m GROUP BY 1) e LEFT JOIN m USING (g, m)""")
-def filled_months(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "orders").where("o_orderkey % 97 = 0").groupBy(F.col("o_orderpriority").alias("g"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.count("*").alias("n"))
-    return dates_as_text(timeseries.filled_weeks(rows, "g", "month", "INTERVAL 1 MONTH").na.fill(0, ["n"]))
-
-
 @query("W3_filled_customer_months", """WITH m AS (SELECT o_custkey AS g, date_trunc('month', o_orderdate)::DATE AS m, count(*) AS n FROM orders GROUP BY ALL)
 SELECT e.g, e.m::VARCHAR AS month, coalesce(n, 0)::BIGINT AS n FROM (SELECT g, unnest(generate_series(min(m)::TIMESTAMP, max(m)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM m GROUP BY 1) e LEFT JOIN m USING (g, m)""")
 def filled_customer_months(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,10 +61,14 @@ def trend_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("exercise_name", "sessions", "first_median", "last_median", "peak", "latest", "latest_vs_peak_pct").withColumns(r6("first_median", "last_median", "peak", "latest", "latest_vs_peak_pct"))
 
 
-@query("E8_ranking_equality", "SELECT 0::BIGINT AS different")
+@query("E8_ranking_equality", """WITH a AS (SELECT o_custkey, o_orderkey, o_totalprice AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), b AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 1000) * 1000 AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 1000) DESC, o_orderkey) AS r FROM orders)
+SELECT a.o_custkey AS query_id, a.r::INT AS rank, a.o_orderkey AS chunk_a, b.o_orderkey AS chunk_b FROM a JOIN b USING (o_custkey, r) WHERE r <= 10 AND (a.o_orderkey <> b.o_orderkey OR abs(a.s - b.s) > 500)""")
 def ranking_equality(spark: SparkSession, folder: str) -> DataFrame:
-    a = lexical(spark, folder, 5)
-    return rankings_differ(a, a.withColumn("score", F.col("score") + 1e-9)).agg(F.count("*").alias("different"))
+    """Customers' orders by price against the same by whole thousands, where they differ by more than five hundred."""
+    o = read(spark, folder, "orders")
+    ranked = lambda score: retrieval.top(o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), score.alias("score")), "query_id", [F.desc("score"), F.col("chunk_id")], 10)
+    price = F.col("o_totalprice").cast("double")
+    return evaluation.rankings_differ(ranked(price), ranked(F.floor(price / 1000) * 1000.0), 500.0).select("query_id", "rank", "chunk_a", "chunk_b")
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.operators import loading
-from tallyhouse.operators.cleaning import lineage
+from tallyhouse.operators.cleaning import lineage, processed_reason
 from tallyhouse.plans.registry import query
 from tallyhouse.queries.records import RAW
 from tallyhouse.sources.tables import read
@@ -150,3 +150,10 @@ def hit_details(spark: SparkSession, folder: str) -> DataFrame:
 def short_lists(spark: SparkSession, folder: str) -> DataFrame:
     ranked = read(spark, folder, "orders").select(F.col("o_custkey").alias("query_id"))
     return loading.short_lists(ranked, read(spark, folder, "customer").select(F.col("c_custkey").alias("query_id")), 5)
+
+
+@query("Z1_all_reasons", SQL + """SELECT set_id, concat_ws(';', CASE WHEN exact_duplicates > 0 THEN 'collapsed_exact_duplicates:' || exact_duplicates END, CASE WHEN alias_shadows > 0 THEN 'collapsed_alias_shadows:' || alias_shadows END,
+  CASE WHEN started_at > 5000 THEN 'high_reps_ge_25' END, CASE WHEN has_collision THEN 'set_order_collision' END) AS validation_reason FROM pc""")
+def all_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sets(spark, folder).withColumn("outlier_reason", F.when(F.col("started_at") > 5000, "high_reps_ge_25").otherwise(""))
+    return rows.select("set_id", processed_reason().alias("validation_reason"))

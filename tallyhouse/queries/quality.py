@@ -28,10 +28,12 @@ def orphans(spark: SparkSession, folder: str) -> DataFrame:
     return quality.orphans(read(spark, folder, "labels").select("doc_id", "quality"), read(spark, folder, "embeddings"), "doc_id", "vec_id")
 
 
-@query("X12_same_build", "SELECT 0::BIGINT AS only_first, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0)::BIGINT AS only_second")
+@query("X12_same_build", """WITH a AS (SELECT l_orderkey, l_returnflag = 'N' AS x FROM lineitem), b AS (SELECT l_orderkey, l_linestatus = 'O' AS x FROM lineitem)
+SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b))::BIGINT AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))::BIGINT AS only_second""")
 def same_build(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    return quality.same_build(rows.where("o_orderkey % 10 <> 0"), rows)
+    """Two ways to tell open lines, which agree on most."""
+    rows = read(spark, folder, "lineitem")
+    return quality.same_build(rows.select("l_orderkey", (F.col("l_returnflag") == "N").alias("x")), rows.select("l_orderkey", (F.col("l_linestatus") == "O").alias("x")))
 
 
 @query("U4_set_algebra", "SELECT doc_id FROM labels WHERE toxic = 1 INTERSECT SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT vec_id FROM embeddings WHERE label = 3")
@@ -53,9 +55,12 @@ def completeness(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(F.coalesce("doc_id", "vec_id").alias("id"), F.col("doc_id").isNull().alias("no_label"), F.col("vec_id").isNull().alias("no_vector"))
 
 
-@query("F28_token_cost", "SELECT event_id, round((1000 * 0.5 + (event_id % 7) * 1.5) / 1000000, 12)::DOUBLE AS cost FROM events")
+@query("F28_token_cost", """WITH u AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN turn > 0 THEN length(text) // 2 ELSE 0 END AS c FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, round(((n - c) * 0.5 + c * 0.125 + (n % 97) * 1.5) / 1000000, 12)::DOUBLE AS cost FROM u""")
 def token_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters as tokens: half of those after the first turn are cached."""
     from tallyhouse.functions.text import token_cost
 
-    rows = read(spark, folder, "events").select("event_id", F.lit(1500).alias("i"), F.lit(500).alias("c"), (F.col("event_id") % 7).alias("o"))
-    return rows.select("event_id", token_cost("i", "c", "o", 0.5, 0.0, 1.5).alias("cost"))
+    n = F.length("text")
+    rows = read(spark, folder, "conversations").where("text IS NOT NULL").select("conv_id", "turn", n.alias("i"), F.when(F.col("turn") > 0, F.floor(n / 2)).otherwise(0).alias("c"), (n % 97).alias("o"))
+    return rows.select("conv_id", "turn", token_cost("i", "c", "o", 0.5, 0.125, 1.5).alias("cost"))

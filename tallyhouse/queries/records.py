@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import cleaning, metrics, records
+from tallyhouse.operators import cleaning, loading, metrics, records
 from tallyhouse.plans.registry import query
 from tallyhouse.sources.tables import SERIES, SETS, log_sets, period_series, read, user_sessions
 
@@ -96,12 +96,9 @@ def limited_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.limited(log_sets(spark, folder), ["started_at", "set_order", "set_id"], 500).select("started_at", "set_order", "set_id", "truncated")
 
 
-@query("O2_session_sets", SETS + "SELECT exercise_name, set_order, set_id, row_number() OVER (ORDER BY exercise_name, set_order, set_id)::INT AS nth FROM sets WHERE session_id = 7")
+@query("O2_session_sets", SETS + "SELECT session_id, set_id, row_number() OVER (PARTITION BY session_id ORDER BY exercise_name, set_order, set_id)::INT AS nth FROM sets")
 def session_sets(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import window as W
-
-    rows = log_sets(spark, folder).where("session_id = 7")
-    return rows.select("exercise_name", "set_order", "set_id", F.row_number().over(W.Window.partitionBy("session_id").orderBy("exercise_name", "set_order", "set_id")).alias("nth"))
+    return loading.ranked_once(log_sets(spark, folder), ["session_id"], [F.col("exercise_name"), F.col("set_order"), F.col("set_id")], "nth").select("session_id", "set_id", "nth")
 
 
 @query("U6_group_lookup", SETS + """, g AS (SELECT DISTINCT * FROM sets WHERE exercise_name IN ('Brand#12', 'Brand#34')),
