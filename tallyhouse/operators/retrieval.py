@@ -5,11 +5,13 @@ A batch of queries is a table, so a search is a join and not a loop.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyhouse.functions.text import cosine, tokens
+from tallyhouse.functions.text import tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -68,11 +70,41 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, retain_zero: bool = Fals
     return top(both, "query_id", [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
 
 
+#: Queries and passages of one block of comparisons.
+BLOCK_QUERIES, BLOCK_ROWS = 1024, 8192
+
+
 def exact_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank by cosine over all passages: a stated set of queries against all rows."""
-    rows = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    scored = rows.select("query_id", "chunk_id", cosine("vector", "q").alias("score"))
-    return top(scored, "query_id", [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
+    """query_id, chunk_id, score, rank by cosine over all passages: a stated set of queries against all rows.
+
+    Both sides are dealt in blocks; a block of queries meets a block of passages in one task, which
+    passes on each query's best k alone. Norms are taken once a block, and nothing is broadcast.
+    """
+    ni, nj = (max(1, -(-df.count() // n)) for df, n in ((queries, BLOCK_QUERIES), (vectors, BLOCK_ROWS)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), block("query_id", ni).alias("i")).withColumn("j", every(nj))
+    rows = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("v"), block("chunk_id", nj).alias("j")).withColumn("i", every(ni))
+    kinds = {"query_id": queries.schema["query_id"].dataType, "chunk_id": vectors.schema["chunk_id"].dataType}
+    kind = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double"
+
+    def unit(x: pd.Series) -> np.ndarray:
+        m = np.stack(x.to_numpy())
+        return m / np.sqrt((m * m).sum(1))[:, None]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        ids, scores, out = right["chunk_id"].to_numpy(), unit(left["v"]) @ unit(right["v"]).T, []
+        for query, row in zip(left["query_id"], scores, strict=True):
+            told = np.round(row, 9)
+            near = np.flatnonzero(told >= np.partition(told, -k)[-k]) if len(told) > k else np.arange(len(told))
+            best = near[np.lexsort((ids[near], -told[near]))[:k]]
+            out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[best], "score": row[best]}))
+        return pd.concat(out)
+
+    found = asked.where("v IS NOT NULL").groupBy("i", "j").cogroup(rows.where("v IS NOT NULL").groupBy("i", "j")).applyInPandas(compare, kind)
+    return top(found, "query_id", [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
 
 
 def rrf(dense: DataFrame, lexical: DataFrame, k: int, constant: int = RRF_K) -> DataFrame:
