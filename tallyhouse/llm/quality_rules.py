@@ -129,9 +129,12 @@ def _copies(texts: DataFrame) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, rules: Rules) -> DataFrame:
     """host, line: lines in more different documents of a host than the limit allows, at any size of the host."""
-    once = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    lines = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).withColumn("at", F.xxhash64("host", "line"))
+    # A line of few rows is in few documents: most lines go after one count, and only the others are shuffled with their texts.
+    many = small(staged(lines.groupBy("at").agg(F.count("*").alias("rows")).where(F.col("rows") > rules.max_line_docs).select("at"), "many"))
     # A document counts once for a line; counting it in two steps keeps a hot line from meeting in one task.
-    once = once.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one")).drop("one")
+    once = lines.join(many, "at", "left_semi").groupBy("host", "line", "text_key").agg(F.lit(1).alias("one")).drop("one")
+    once = staged(once, "many-lines")
     often = small(staged(once.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > rules.max_line_docs), "often"))
     held = staged(once.join(often, _same(once, often, "line"), "left_semi"), "held")
     # Only texts with such a line may be copies that count too much.
