@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from tallyhouse.queries import evaluation, extras, loading, planning, quality, records, retrieval, series, texts  # noqa: F401
+from tallyhouse.queries import evaluation, extras, gates, loading, planning, quality, records, retrieval, series, texts  # noqa: F401
