@@ -5,21 +5,29 @@ A batch of queries is a table, so a search is a join and not a loop.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.functions.text import tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Distinct terms of all queries that are sent to every executor at most.
+BROADCAST_TERMS = 500_000
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """term, key, tf and the length of the passage, which is counted before the terms are dealt out."""
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """term, key, tf and the length of the passage, which is counted before the terms are dealt out; of given terms alone, others aren't shuffled."""
     words = chunks.select(key, tokens(text).alias("t"))
-    return words.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    dealt = words.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    if terms is not None:
+        few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        dealt = dealt.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return dealt.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -46,12 +54,35 @@ def top(rows: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank
     return rows.withColumn(rank, F.row_number().over(W.Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of every passage that a query matches; only postings of the queries' terms are kept: the index is probed by term."""
+@dataclass(frozen=True)
+class Index:
+    """Stored postings, clustered by term so that a query's terms are read by the files' statistics, and the corpus' one row of statistics."""
+
+    postings: DataFrame
+    statistics: DataFrame
+
+
+def stored_index(chunks: DataFrame, path: str) -> Index:
+    """Write the index once; an index that is there is an error."""
+    postings(chunks).repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/postings")
+    statistics(chunks).write.mode("errorifexists").parquet(f"{path}/statistics")
+    return read_index(chunks.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics"))
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
+    """query_id, chunk_id, score of every passage that a query matches. Only postings of the queries' terms are made, or of a
+    stored index read."""
     terms = query_terms(queries)
-    index = postings(chunks)
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    stats = F.broadcast(statistics(chunks).select("passages", "mean_length"))  # one row
+    asked = terms.select("term").distinct()
+    if isinstance(chunks, Index):
+        wanted, counted = chunks.postings.join(asked, "term", "left_semi"), chunks.statistics
+    else:
+        wanted, counted = postings(chunks, terms=asked), statistics(chunks)
+    stats = F.broadcast(counted.select("passages", "mean_length"))  # one row
     weighed = wanted.join(document_frequency(wanted), "term").crossJoin(stats)
     part = idf(F.col("df"), F.col("passages")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return weighed.withColumn("part", part).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * F.col("part")).alias("score")).where("score > 0")

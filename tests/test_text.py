@@ -161,3 +161,13 @@ def test_a_piece_without_room_keeps_the_overlap_and_one_after_the_target_may_not
     rules = passages.ChunkRules(target=5, least=1, most=8, overlap=3)
     made = passages.chunk_paragraphs(["a b c", "d e f g h i j", "k l m n o p"], rules)
     assert [c["text"] for c in made] == ["a b c", "a b c\n\nd e f g h i j", "k l m n o p"] and [(c["first"], c["last"]) for c in made] == [(1, 1), (1, 2), (3, 3)]
+
+
+def test_a_stored_index_gives_the_same_ranks(spark, tmp_path):
+    chunks = spark.createDataFrame([(k, f"term{k % 3} common word{k}") for k in range(30)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "term1 common"), (2, "word7 none")], "query_id long, text string")
+    index = retrieval.stored_index(chunks, str(tmp_path / "index"))
+    plain, stored = (sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in retrieval.bm25_scores(asked, x).collect()) for x in (chunks, index))
+    assert plain == stored and len(plain) == 31
+    with pytest.raises(Exception, match="(?i)already exists"):
+        retrieval.stored_index(chunks, str(tmp_path / "index"))
