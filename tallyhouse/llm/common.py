@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -33,8 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Intermediate folders that this driver program has made and not yet deleted.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A folder for intermediate data, which is deleted when the driver program ends, or before by dropped()."""
+    if not _MADE:
+        atexit.register(_at_exit, spark._jvm, spark._jsc.hadoopConfiguration())
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def _delete(jvm, conf, paths: list[str]) -> None:
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        with contextlib.suppress(ValueError):
+            _MADE.remove(path)
+
+
+def _at_exit(jvm, conf) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and with it only the chance to tidy up
+        _delete(jvm, conf, list(_MADE))
+
+
+def made() -> list[str]:
+    """The intermediate folders there are."""
+    return list(_MADE)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate folders that nothing reads any more."""
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), paths)
 
 
 @contextlib.contextmanager

@@ -9,9 +9,10 @@ counted there on the whole signatures. Candidates are confirmed on full shingle
 are the connected components of the confirmed links.
 
 Equal sets are one node from the start, however many copies there are. Posting lists up to
-SHORT_LIST documents give their candidate pairs; longer lists are dealt in blocks, each pair of
-blocks is compared in one task with a sparse product of its sets, and only a spanning forest of the
-links leaves the task, so that rows grow with the list and not with its square.
+SHORT_LIST documents give their candidate pairs; longer lists are dealt in blocks, a block is
+compared in one task with a sparse product of its sets, and only a spanning forest of the links
+leaves the task. Blocks are joined by one node of each tree, and only what is then still apart from
+its list's largest class is compared with the whole list.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import slices, small, staged, table
+from tallyhouse.llm.common import dropped, made, slices, small, staged, table
 
 #: Minima of a signature, and how many of them a candidate pair shares.
 COORDINATES, MATCHES = 24, 8
@@ -170,23 +171,68 @@ def links_of_block(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
     return sorted(out)
 
 
-def _long_lists(postings: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of the long lists, compared in pairs of blocks."""
-    long = postings.where(F.col("listed") > SHORT_LIST).join(nodes.select("node", "n_shingles"), "node")
-    dealt = long.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = _salted(long, dealt, "token", "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node").join(sets, "node")
+def _in_blocks(rows: DataFrame, by: str, nodes: DataFrame, name: str) -> DataFrame:
+    """rows with `name`, the number of the block that a node of a list is dealt to, and `name`s, how many blocks its list has."""
+    sized = rows.join(nodes.select("node", "n_shingles"), "node")
+    dealt = sized.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias(f"{name}s"))
+    return _salted(rows, dealt, by, "node").withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")).cast("int"))
+
+
+def _linked(groups: DataFrame, keys: list[str], sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the links of each group of nodes."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(links_of_block(group["node"].to_numpy(), list(group["shingles"]), percent), columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long")
+    return groups.select(*keys, "node").distinct().join(sets, "node").groupBy(*keys).applyInPandas(compare, "a long, b long")
+
+
+def _pairs_of_blocks(some: DataFrame, every: DataFrame) -> DataFrame:
+    """token, i, j, node: each block of some nodes of a list beside each block of every node of it."""
+    counts = some.select("token", "is").distinct().join(every.select("token", "js").distinct(), "token")
+    left = some.select("token", "i", "node").join(counts, "token").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
+    right = every.select("token", "j", "node").join(counts, "token").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
+    return left.select("token", "i", "j", "node").union(right.select("token", "i", "j", "node"))
+
+
+def _long_lists(postings: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, known: DataFrame) -> DataFrame:
+    """a, b: edges that connect what is linked within the long lists, and the known edges.
+
+    First each node is compared within one block of one of its lists, then the smallest node of
+    each tree that this gives with those of the same list's other blocks. A group of near copies is
+    one class by then, after work in proportion to its size. What classes a list then still has
+    beside its largest one is compared with the whole list, so that no link between two of them is
+    missed; only lists of many documents that aren't linked take more than that.
+    """
+    long = postings.where(F.col("listed") > SHORT_LIST)
+    if not long.take(1):
+        return known
+    own = long.groupBy("node").agg(F.max_by("token", F.struct("listed", "token")).alias("token"))
+    own = staged(_in_blocks(own, "token", nodes, "i"), "blocks")
+    trees = staged(_linked(own, ["token", "i"], sets, percent), "trees")
+    roots = own.select("token", "node").join(trees.select(F.col("b").alias("node")), "node", "left_anti")
+    several = roots.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    roots = roots.join(several, "token", "left_semi")
+    across = _linked(_pairs_of_blocks(_in_blocks(roots, "token", nodes, "i"), _in_blocks(roots, "token", nodes, "j")), ["token", "i", "j"], sets, percent)
+    edges = staged(known.union(trees).union(across).distinct(), "first-links")
+    classes = components(edges)
+    edges = staged(classes.select(F.col("component").alias("a"), F.col("node").alias("b")), "stars-so-far")
+    named = long.select("token", "node").join(edges.withColumnRenamed("b", "node"), "node", "left").select("token", "node", F.coalesce("a", "node").alias("class"))
+    named = staged(named, "classes-of-lists")
+    largest = named.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    named = staged(_salted(named, largest.select("token", "largest"), "token", "node"), "open-lists")
+    if not named.take(1):
+        return edges
+    minor = named.where(F.col("class") != F.col("largest")).select("token", "node")
+    rest = _pairs_of_blocks(_in_blocks(minor, "token", nodes, "i"), _in_blocks(named.select("token", "node"), "token", nodes, "j"))
+    return edges.union(_linked(rest, ["token", "i", "j"], sets, percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of every node of a written table of edges a < b, by alternating stars."""
+    spark, last = edges.sparkSession, []
     while True:
+        before = set(made())
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: a node's larger neighbours move to its smallest one.
@@ -195,6 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(small, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
         new = staged(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "stars")
+        dropped(spark, last)  # the round before
+        last = [p for p in made() if p not in before]
         # Stars are done when nobody is both a centre and a leaf.
         if not new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").take(1) and not _shared_leaf(new):
             return new.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
@@ -221,8 +269,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     postings = staged(_postings(nodes, coordinates, matches), "postings")
     sets = staged(_sets_of(docs, postings, words), "sets")
     pairs = _short_lists(postings, nodes, matches, percent).distinct()
-    edges = _confirmed(pairs, sets, percent).union(_long_lists(postings, nodes, sets, percent)).distinct()
-    found = components(staged(edges, "links"))
+    known = staged(_confirmed(pairs, sets, percent), "short-links")
+    found = components(staged(_long_lists(postings, nodes, sets, percent, known).distinct(), "links"))
     named = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -10,6 +10,7 @@ under its hash, and manifest.json lists the shards with the ids before each.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -148,6 +149,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             before += row.ids
     manifest = {"format": MAGIC.decode(), "dictionary": f"{key:016x}", "end_id": end_id, "shards": listed}
     put(f"{folder}/manifest.json", iter([json.dumps(manifest).encode()]))
+    # What tasks that were lost or repeated have left half written; they are done by now.
+    fs, at = _open(folder)
+    for info in fs.get_file_info(pafs.FileSelector(at)):
+        if re.search(r"\.[0-9a-f]{32}$", info.base_name):
+            fs.delete_file(info.path)
     return manifest
 
 
