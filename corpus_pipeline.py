@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.llm import language_id, mixing, near_dedup, packing, quality_rules
-from tallyhouse.llm.common import id_crc, small, staged, table
+from tallyhouse.llm.common import dropped, id_crc, made, small, staged, table
 
 #: Least score at which a document's predicted language counts as told.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -48,12 +48,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to their sources' target weights, in a random order of the whole."""
+    """Documents repeated to their sources' target weights, in a random order of the whole; a source without characters has none,
+    null ids draw alike, and an empty table stays empty."""
     return mixing.mixed(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its sequence and offset."""
+    """A row for each piece of a document with its sequence and offset; a null text is one token, repeated rows are packed
+    repeatedly, and an empty table has no pieces."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).placements.drop("part", "row")
@@ -66,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed rows; what a stage has written for itself is deleted when the next one's documents are written."""
+    docs, older = table(spark, sf_dir, "documents"), set(made())
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        own = [p for p in made() if p not in older]
+        dropped(spark, own[:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
