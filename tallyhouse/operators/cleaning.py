@@ -56,14 +56,18 @@ def lineage(raw: DataFrame, raw_key: list[str], set_key: list[str], row: str = "
     """Each raw row with its set's representative and what became of it.
 
     An exact duplicate repeats all raw columns of an earlier row; an alias shadow has another raw
-    form of a set that an earlier row has; exact duplication is settled first. Two windows over the
-    same kind of key, no join.
+    form of a set that an earlier row has; exact duplication is settled first. First rows are taken
+    by partial aggregates over hashes of the keys and joined back, so that a row with a third of
+    all copies is no task of its own: the join is split where it is skewed.
     """
-    same_raw, same_set = W.Window.partitionBy(*raw_key), W.Window.partitionBy(*set_key)
-    rows = raw.withColumn("first_raw", F.min(row).over(same_raw)).withColumn("representative_row", F.min(row).over(same_set))
+    key = lambda columns: F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    rows = raw.withColumns({"_raw": key(raw_key), "_set": key(set_key)})
+    first = lambda by, name: rows.groupBy(by).agg(F.min(row).alias(name))
+    rows = rows.join(first("_raw", "first_raw"), "_raw").join(first("_set", "representative_row"), "_set")
     exact = F.col(row) != F.col("first_raw")
     status = F.when(exact, "excluded_exact_duplicate").when(F.col(row) != F.col("representative_row"), "excluded_alias_shadow").otherwise("kept")
-    return rows.withColumn("row_status", status).withColumn("raw_record_id", F.format_string("raw_%06d", F.col(row).cast("long"))).drop("first_raw")
+    rows = rows.select(*raw.columns, "first_raw", "representative_row").withColumn("row_status", status)
+    return rows.withColumn("raw_record_id", F.format_string("raw_%06d", F.col(row).cast("long"))).drop("first_raw")
 
 
 def duplicate_counts(rows: DataFrame, set_key: list[str]) -> DataFrame:
