@@ -188,6 +188,51 @@ def with_children(passages: DataFrame, key: str, text: str = "text", most: int =
     return rows.select("parent_id", F.format_string("%s::child:%04d", F.col("parent_id").cast("string"), F.col("nth")).alias("child_id"), "c.start", "c.end", "c.forced", F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")).alias("words"))
 
 
+def children_of_parents(passages: DataFrame, key: str, text: str = "text", most: int = 110) -> DataFrame:
+    """Each child with its own text, by a join with its parent: parent_id, child_id, start, end, child."""
+    cut = with_children(passages, key, text, most)
+    parents = passages.select(F.col(key).alias("parent_id"), F.col(text).alias("_t")).dropDuplicates(["parent_id"])
+    return cut.join(parents, "parent_id").select("parent_id", "child_id", "start", "end", F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("child"))
+
+
+def token_children(passages: DataFrame, key: str, tokenizer: str, most: int = 128, special: int = 2, text: str = "text") -> DataFrame:
+    """Like with_children, with sizes in a tokenizer's tokens and room for its special ones in each child: parent_id, nth, start, end, forced."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,forced:boolean>>")
+    def cut(values: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(tokenizer)
+        count = lambda t: len(made.encode(t, add_special_tokens=False).ids)
+        out = []
+        for v in values:
+            found = []
+            for a, b, forced in children(v or "", most - special, count):
+                # Words cut by force may have many tokens each; such a piece is halved until it fits.
+                todo = [(a, b)]
+                while todo:
+                    x, y = todo.pop()
+                    if y - x > 1 and count(v[x:y]) > most - special:
+                        todo += [((x + y) // 2, y), (x, (x + y) // 2)]
+                    else:
+                        found.append({"start": x, "end": y, "forced": forced})
+            out.append(found)
+        return pd.Series(out)
+
+    return passages.select(F.col(key).alias("parent_id"), F.posexplode(cut(F.col(text))).alias("nth", "c")).select("parent_id", "nth", "c.start", "c.end", "c.forced")
+
+
+def sentence_letters(text: str) -> Column:
+    """How many sentences a text has, and how many letters and signs they have without white space."""
+
+    @F.pandas_udf("sentences int, letters long")
+    def count(values: pd.Series) -> pd.DataFrame:
+        spans = [[(v or "")[a:b] for a, b in sentence_spans(v or "")] for v in values]
+        return pd.DataFrame({"sentences": [len(s) for s in spans], "letters": [sum(len("".join(x.split())) for x in s) for s in spans]})
+
+    return count(F.col(text))
+
+
 def covering(spans: list[tuple[int, int]], start: int, end: int) -> list[int]:
     """Numbers of spans that cover [start, end): one that does alone, else the fewest by taking what reaches farthest; [] if none do."""
     alone = [k for k, (a, b) in enumerate(spans) if a <= start and end <= b]

@@ -77,6 +77,33 @@ def personal_signals(operation: Column, analyses: Column, asked: Column, exercis
     )
 
 
+def evidence_need(own: Column, read: Column, asked: Column, out_of_scope: Column, unresolved: Column) -> Column:
+    """required, optional and status of what an answer needs: own records, and literature that it needs or that is asked for as
+    `required` or `optional`. Nothing is needed out of scope; a question that needs nothing else has an open purpose."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    inside = ~flag(out_of_scope)
+    must = flag(read) | (F.coalesce(asked, F.lit("none")) == "required")
+    may = (F.coalesce(asked, F.lit("none")) == "optional") & ~must
+    required = _words(F.when(inside & flag(own), "training_records"), F.when(inside & must, "literature"))
+    optional = _words(F.when(inside & may, "literature"))
+    open_ = flag(unresolved) | (inside & (F.size(required) + F.size(optional) == 0))
+    return F.struct(required.alias("required"), optional.alias("optional"), F.when(open_, "clarification_required").otherwise("resolved").alias("status"))
+
+
+# Implements of a catalogue's exercise names, and what a metric's verdict is called.
+IMPLEMENTS = ("barbell", "dumbbell", "cable", "machine", "smith machine", "bodyweight", "kettlebell", "ez bar")
+VERDICTS = ("plateau candidate", "plateau_candidate", "plateau-candidate", "training gap", "training_gap", "training-gap", "정체 후보", "median e1rm")
+
+
+def personal_leaks(query: Column) -> Column:
+    """Signs that a literature query tells of the asker's own records: a date, a number of sessions, a catalogue's name, a verdict."""
+    said = F.lower(F.coalesce(query, F.lit("")))
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(said, w))
+    date = F.regexp_like(said, F.lit(r"(^|[^0-9])[0-9]{4}([-/.][0-9]{1,2}|\s?년)")) | F.regexp_like(said, F.lit(r"[0-9]{1,2}\s?월\s?[0-9]{1,2}\s?일"))
+    sessions = F.regexp_like(said, F.lit(r"[0-9]+\s?[-–]?\s?(sessions?([^a-z]|$)|세션)"))
+    return _words(F.when(date, "personal_date"), F.when(sessions, "personal_session_condition"), F.when(has([f"({x})" for x in IMPLEMENTS]), "canonical_catalog_form"), F.when(has(VERDICTS), "record_judgement"))
+
+
 def outcomes(attempts: DataFrame, by: str, retries: int = MOST_RETRIES) -> DataFrame:
     """by, status, retries: where each case's searches end, from attempt (from 1), sufficient and failed.
 

@@ -144,3 +144,29 @@ def period_starts(spark: SparkSession, folder: str) -> DataFrame:
     """Weeks that end on a Sunday begin on a Monday."""
     start = lambda unit: F.to_date(F.date_trunc(unit, "o_orderdate")).cast("string").alias(unit)
     return read(spark, folder, "orders").select("o_orderkey", start("week"), start("month"))
+
+
+@query("C9_evidence_need", """WITH o AS (SELECT o_orderkey, o_orderstatus = 'F' AS own, o_totalprice > 150000 AS must, CASE o_custkey % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'optional' ELSE 'none' END AS asked, o_custkey % 11 = 0 AS gone, o_custkey % 13 = 0 AS open FROM orders),
+n AS (SELECT *, CASE WHEN gone THEN '' ELSE concat_ws(',', CASE WHEN own THEN 'training_records' END, CASE WHEN must OR asked = 'required' THEN 'literature' END) END AS required, CASE WHEN NOT gone AND asked = 'optional' AND NOT must THEN 'literature' ELSE '' END AS optional FROM o)
+SELECT o_orderkey, required, optional, CASE WHEN open OR (NOT gone AND required = '' AND optional = '') THEN 'clarification_required' ELSE 'resolved' END AS status FROM n""")
+def evidence_need(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("o_custkey")
+    asked = F.when(c % 3 == 0, "required").when(c % 3 == 1, "optional").otherwise("none")
+    found = workflow.evidence_need(F.col("o_orderstatus") == "F", F.col("o_totalprice") > 150000, asked, c % 11 == 0, c % 13 == 0)
+    return read(spark, folder, "orders").select("o_orderkey", found.alias("n")).select("o_orderkey", F.array_join("n.required", ",").alias("required"), F.array_join("n.optional", ",").alias("optional"), "n.status")
+
+
+@query("F26_personal_leaks", """SELECT o_orderkey, concat_ws(',', CASE WHEN o_custkey % 2 = 0 THEN 'personal_date' END, CASE WHEN o_custkey % 3 = 0 THEN 'personal_session_condition' END, CASE WHEN o_custkey % 5 = 0 THEN 'canonical_catalog_form' END, CASE WHEN o_custkey % 7 = 0 THEN 'record_judgement' END) AS leaks FROM orders""")
+def personal_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries with parts of the asker's records as the customer's number says; plain numbers in them are no leak."""
+    c = F.col("o_custkey")
+    date = F.when(c % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "M'월' d'일'"))
+    said = F.concat_ws(" ", F.lit("hypertrophy after 12 weeks with 80 %"), F.when(c % 2 == 0, date), F.when(c % 3 == 0, F.lit("over the last 5 sessions")), F.when(c % 5 == 0, F.lit("Bench Press (Barbell)")), F.when(c % 7 == 0, F.lit("Median e1RM")))
+    return read(spark, folder, "orders").select("o_orderkey", F.array_join(workflow.personal_leaks(said), ",").alias("leaks"))
+
+
+@query("E10_adoption", """WITH a AS (SELECT o_custkey AS k, avg(o_totalprice::DECIMAL(18, 2)) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, avg(o_totalprice::DECIMAL(18, 2)) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+c AS (SELECT a.m AS x, b.m AS y FROM a FULL JOIN b USING (k)), d AS (SELECT count(*) FILTER (y - x > 1e-6)::BIGINT AS improved, count(*) FILTER (y - x < -1e-6)::BIGINT AS worsened, count(*) FILTER (x IS NULL OR y IS NULL)::BIGINT AS missing FROM c)
+SELECT *, missing = 0 AND improved > worsened AS adopt FROM d""")
+def adoption(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.adopted_share(compared_runs(spark, folder))

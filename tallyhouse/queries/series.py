@@ -198,3 +198,30 @@ def nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
     placed = rows.withColumn("i", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
     at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)) + 1
     return placed.groupBy("event_type").agg(F.max(F.when(F.col("i") == at, F.col("value"))).alias("p95"), F.median("value").alias("median"))
+
+
+NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("A23_all_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*)::BIGINT AS n, count(*) FILTER ({c} IS NULL)::BIGINT AS missing, count(DISTINCT {c})::BIGINT AS distinct_values, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, typeof(any_value({c})) IN ('DOUBLE', 'FLOAT') AS real FROM lineitem" for c in NUMBERS))
+def all_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Each number column's profile from one pass."""
+    rows = read(spark, folder, "lineitem")
+    kinds = {f.name: f.dataType.simpleString() in ("double", "float") for f in rows.schema}
+    one = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(c).alias("distinct_values"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.lit(kinds[c]).alias("real"))
+    return rows.agg(F.array(*[one(c) for c in NUMBERS]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query("A25_time_conflicts", "SELECT ts::VARCHAR AS at, count(DISTINCT event_type)::BIGINT AS kinds FROM events GROUP BY ts HAVING count(DISTINCT event_type) > 1")
+def time_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Times that more than one kind of session claims."""
+    found = read(spark, folder, "events").groupBy("ts").agg(F.count_distinct("event_type").alias("kinds")).where("kinds > 1")
+    return found.select(F.col("ts").cast("string").alias("at"), "kinds")
+
+
+@query("A33_usage_summary", """SELECT 'calls' AS name, count(*)::BIGINT AS n FROM events UNION ALL SELECT 'failures', count(*)::BIGINT FROM events WHERE value < 0.1 UNION ALL SELECT 'fallback:' || event_type, count(*)::BIGINT FROM events WHERE value > 0.9 GROUP BY event_type""")
+def usage_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls, failures, and fallbacks by their reason, counted in one pass over names."""
+    v = F.col("value")
+    names = F.array_compact(F.array(F.lit("calls"), F.when(v < 0.1, "failures"), F.when(v > 0.9, F.concat(F.lit("fallback:"), "event_type"))))
+    return read(spark, folder, "events").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import periods, text
 from tallyhouse.operators import passages
 from tallyhouse.plans.registry import query
+from tallyhouse.sources import files
 from tallyhouse.sources.tables import read
 
 
@@ -104,3 +105,28 @@ def evidence_predicate(spark: SparkSession, folder: str) -> DataFrame:
 @query("Z9_numbers_kept", "SELECT conv_id, turn, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'))::INT AS numbers FROM conversations")
 def numbers_kept(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))).alias("numbers"))
+
+
+#: Letters and signs of each text without white space, which no cut may lose or repeat.
+LETTERS = r"SELECT {} AS {}, length(regexp_replace(coalesce({}, ''), '[ \t\n\x0B\f\r]+', '', 'g'))::BIGINT AS letters FROM {}"
+
+
+@query("F17_sentence_cover", LETTERS.format("doc_id", "doc_id", "text", "documents"))
+def sentence_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", passages.sentence_letters("text").alias("s")).select("doc_id", "s.letters")
+
+
+@query("R7_J16_children_of_parents", LETTERS.format("item_id", "parent_id", "text", "benchmark"))
+def children_of_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """The letters of each parent by its children's texts, which a join with it gives."""
+    found = passages.children_of_parents(read(spark, folder, "benchmark"), "item_id", most=20)
+    return found.groupBy("parent_id").agg(F.sum(F.length(F.regexp_replace("child", r"[ \t\n\x0B\f\r]+", ""))).alias("letters"))
+
+
+@query("S14_relational_lines", "SELECT 'rows' AS part, count(*)::BIGINT AS n, sum(l_orderkey)::BIGINT AS total FROM (SELECT DISTINCT l_orderkey FROM lineitem) UNION ALL SELECT 'parts', count(*)::BIGINT, sum(l_partkey)::BIGINT FROM lineitem")
+def relational_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as JSON lines with their parts in a list, read as two tables."""
+    lines = read(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts")).select(F.to_json(F.struct("l_orderkey", "parts")).alias("value"))
+    made = files.relational(lines, "l_orderkey long, parts array<long>", "l_orderkey", ["parts"])
+    one = lambda df, name, c: df.agg(F.count("*").alias("n"), F.sum(c).alias("total")).select(F.lit(name).alias("part"), "n", "total")
+    return one(made["rows"], "rows", "l_orderkey").union(one(made["parts"], "parts", "item"))

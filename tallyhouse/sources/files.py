@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,3 +141,65 @@ def store_absent(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
 def replace_guarded(rows: DataFrame, path: str, replace: bool) -> None:
     """Load a table; one that is there is replaced only if asked."""
     rows.write.mode("overwrite" if replace else "errorifexists").parquet(path)
+
+
+def write_matrix(rows: DataFrame, key: str, vector: str, folder: str) -> int:
+    """Vectors as .npy matrices, one for each partition, with their keys beside them; returns how many rows. The folder is shared
+    by the driver and all executors, and a file is moved into place when it is whole."""
+
+    def work(batches):
+        fs, top = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(top, recursive=True)
+        keys, parts = [], []
+        for batch in batches:
+            keys += batch.column("key").to_pylist()
+            if batch.num_rows:
+                parts.append(np.array(batch.column("vector").to_pylist(), np.float32))
+        if keys:
+            nth = TaskContext.get().partitionId()
+            for name, data in ((f"keys-{nth:05d}", np.array(keys)), (f"matrix-{nth:05d}", np.concatenate(parts))):
+                held = io.BytesIO()
+                np.save(held, data, allow_pickle=False)
+                part = f"{top}/{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(held.getvalue())
+                fs.move(part, f"{top}/{name}.npy")
+        yield pa.record_batch([pa.array([len(keys)], pa.int64())], ["n"])
+
+    kept = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    return sum(r.n for r in kept.mapInArrow(work, "n long").collect())
+
+
+def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """key, vector of matrices that write_matrix wrote; each pair of files is read by one task."""
+    fs, top = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+    names = sorted(x.base_name[7:-4] for x in fs.get_file_info(pafs.FileSelector(top)) if x.base_name.startswith("matrix-") and x.base_name.endswith(".npy"))
+
+    def work(batches):
+        reader, at = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                keys, matrix = (np.load(io.BytesIO(reader.open_input_file(f"{at}/{kind}-{name}.npy").readall()), allow_pickle=False) for kind in ("keys", "matrix"))
+                if len(keys) != len(matrix):
+                    raise ValueError(f"{name}: keys and matrix differ in length")
+                for k in range(0, len(keys), 1024):
+                    some = matrix[k : k + 1024]
+                    yield pa.record_batch([pa.array(keys[k : k + 1024].astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(some.ravel()), some.shape[1]).cast(pa.list_(pa.float32()))], ["key", "vector"])
+
+    files = spark.createDataFrame([(n,) for n in names], "name string")
+    return files.repartition(max(1, len(names))).mapInArrow(work, "key long, vector array<float>")
+
+
+def relational(lines: DataFrame, schema: str, key: str, lists: list[str], column: str = "value") -> dict[str, DataFrame]:
+    """JSON lines as tables: `rows` with the plain fields, and one table for each list with the key and the place of each item.
+
+    A line that isn't of the schema stops the load.
+    """
+    read = F.from_json(column, schema)
+    bad = F.raise_error(F.concat(F.lit("not of the schema: "), F.left(F.col(column), F.lit(80))))
+    parsed = lines.withColumn("_r", read).where(F.when(F.try_parse_json(column).isNull() | F.col(f"_r.{key}").isNull(), bad.cast("boolean")).otherwise(True))
+    fields = [f for f in parsed.select("_r.*").columns if f not in lists]
+    out = {"rows": parsed.select(*[F.col(f"_r.{f}") for f in fields])}
+    for name in lists:
+        out[name] = parsed.select(F.col(f"_r.{key}"), F.posexplode(f"_r.{name}").alias("nth", "item"))
+    return out

@@ -104,3 +104,39 @@ def test_bounded_groups(spark):
     rows = spark.createDataFrame([(g, k) for g, n in ((1, 3), (2, 20), (3, 50)) for k in range(n)], "g int, k int")
     got = {r.g: (r.kept, r.omitted) for r in answers.bounded_rows(rows, "g", ["k"], "k").collect()}
     assert got == {1: ([0, 1, 2], 0), 2: (list(range(20)), 0), 3: ([*range(10), *range(40, 50)], 30)}
+
+
+def test_matrices_come_back(spark, tmp_path):
+    from tallyhouse.sources import files
+
+    rows = spark.createDataFrame([(k, [float(k), k / 2]) for k in range(40)], "id long, v array<double>").repartition(3)
+    assert files.write_matrix(rows, "id", "v", str(tmp_path / "m")) == 40
+    assert {(r.key, tuple(r.vector)) for r in files.read_matrix(spark, str(tmp_path / "m")).collect()} == {(k, (float(k), k / 2)) for k in range(40)}
+
+
+def test_lines_that_do_not_fit_stop_the_load(spark):
+    from tallyhouse.sources import files
+
+    made = files.relational(spark.createDataFrame([('{"a":1,"b":["x","y"]}',), ('{"a":2}',)], "value string"), "a int, b array<string>", "a", ["b"])
+    assert sorted(r.a for r in made["rows"].collect()) == [1, 2] and [tuple(r) for r in made["b"].collect()] == [(1, 0, "x"), (1, 1, "y")]
+    for bad in ("{", '{"b":[]}'):
+        with pytest.raises(Exception, match="not of the schema"):
+            files.relational(spark.createDataFrame([(bad,)], "value string"), "a int, b array<string>", "a", ["b"])["rows"].collect()
+
+
+def test_children_by_tokens(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tallyhouse.operators import passages
+
+    text = "Short one. " + "antidisestablishmentarianism " * 40 + ". End here."
+    rows = passages.token_children(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id", public.path("byte_bpe_50k.json"), most=24).orderBy("start").collect()
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert "".join("".join(text[r.start : r.end].split()) for r in rows) == "".join(text.split()) and all(len(made.encode(text[r.start : r.end], add_special_tokens=False).ids) <= 22 for r in rows) and len(rows) > 5
+
+
+def test_evidence_that_is_needed(spark):
+    rows = spark.createDataFrame([(True, False, "optional", False, False), (False, False, "none", False, False), (True, True, "required", True, False), (None, None, None, None, True)], "own boolean, read boolean, asked string, out boolean, open boolean")
+    got = rows.select(workflow.evidence_need(*[F.col(c) for c in rows.columns]).alias("n")).select("n.*").collect()
+    assert [(r.required, r.optional, r.status) for r in got] == [(["training_records"], ["literature"], "resolved"), ([], [], "clarification_required"), ([], [], "resolved"), ([], [], "clarification_required")]
