@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.operators.passages import sections_of
+from tallyhouse.sources import jats
 
 # The raw log's columns, in order.
 LOG_SCHEMA = T.StructType([
@@ -68,9 +68,9 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """path, ids, title, year, license, sections of article XML files, each read whole by one row's function."""
+    """path, ids, title, year, journal, authors, license, sections of article XML files, each read whole by one row's function."""
 
-    @F.pandas_udf("pmcid string, pmid string, doi string, title string, year int, license string, sections array<struct<title:string,paragraphs:array<string>>>")
+    @F.pandas_udf("pmcid string, pmid string, doi string, title string, year int, journal string, authors array<string>, license string, sections array<struct<title:string,paragraphs:array<string>>>")
     def parse(files: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([article(bytes(f)) for f in files])
 
@@ -88,10 +88,8 @@ def article(data: bytes) -> dict:
     first = next((years[k] for k in ("epub", "pub", "ppub", "collection", *sorted(years)) if k in years), None)
     title = next((" ".join("".join(e.itertext()).split()) for e in root.iter("article-title")), None)
     licence = next((e.get("{http://www.w3.org/1999/xlink}href") or " ".join("".join(e.itertext()).split()) for e in root.iter("license")), None)
-    body = root.find(".//body")
-    found = list(sections_of(ET.tostring(body, encoding="unicode"))) if body is not None else []
     pmcid = ids.get("pmc") or ids.get("pmcid")
-    return {"pmcid": pmcid, "pmid": ids.get("pmid"), "doi": ids.get("doi"), "title": title, "year": first, "license": licence, "sections": found}
+    return {"pmcid": pmcid, "pmid": ids.get("pmid"), "doi": ids.get("doi"), "title": title, "year": first, "journal": jats.said(root.find(".//journal-title")) or None, "authors": jats.authors(root), "license": licence, "sections": jats.sections(root)}
 
 
 @dataclass(frozen=True)

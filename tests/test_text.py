@@ -171,3 +171,31 @@ def test_a_stored_index_gives_the_same_ranks(spark, tmp_path):
     assert plain == stored and len(plain) == 31
     with pytest.raises(Exception, match="(?i)already exists"):
         retrieval.stored_index(chunks, str(tmp_path / "index"))
+
+
+def jats_sections(body, front=""):
+    found = files.article(f"<article>{front}<body>{body}</body></article>".encode())["sections"]
+    return [(s["title"], s["paragraphs"]) for s in found]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<sec><title>T</title><list><list-item><p>One</p></list-item><list-item><p>Two</p></list-item></list></sec>", [("T", ["- One\n- Two"])]),
+        ("<boxed-text><title>Key</title><p>Dose</p><list><list-item><p>A</p></list-item></list></boxed-text>", [("Body", ["Key\nDose\n- A"])]),
+        ("<sec><title>Ab</title><def-list><def-item><term><bold>RIR</bold></term><def><p>Reps <italic>in reserve</italic></p></def></def-item></def-list></sec>", [("Ab", ["RIR: Reps in reserve"])]),
+        ("<p>First</p><sec><title>P</title><p>a</p><sec><title>C</title><p>b</p></sec><p>c</p></sec><p>Last</p>", [("Body", ["First"]), ("P", ["a"]), ("P > C", ["b"]), ("P", ["c"]), ("Body", ["Last"])]),
+        ("<p>Intro <list><list-item><p>Item</p></list-item></list>Tail <fig><p>no</p></fig></p>", [("Body", ["Intro Item Tail"])]),
+        ("<list><label>L</label><list-item><label>1.</label><p>x</p><p>y</p><list><list-item><p>n</p></list-item></list></list-item></list>", [("Body", ["L\n- 1.\n  x\n  y\n  - n"])]),
+        ("<p>Kept</p><table-wrap><list><list-item><p>no</p></list-item></list></table-wrap><boxed-text><media><p>no</p></media></boxed-text>", [("Body", ["Kept"])]),
+        ("<boxed-text><label>Box 1</label><caption><title>Con</title><p>Cap</p></caption><sec><title>Known</title><p>k</p></sec></boxed-text>", [("Body", ["Box 1\nCon Cap\nKnown\nk"])]),
+    ],
+)
+def test_blocks_of_articles(body, want):
+    assert jats_sections(body) == want
+
+
+def test_front_matter():
+    front = "<front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><contrib-group><contrib contrib-type='author'><name><surname>Doe</surname><given-names>A B</given-names></name></contrib><contrib contrib-type='editor'><name><surname>No</surname></name></contrib><contrib><collab>Team</collab></contrib></contrib-group><abstract><p>Sum</p></abstract></article-meta></front>"
+    found = files.article(f"<article>{front}<body><p>x</p></body></article>".encode())
+    assert found["journal"] == "J" and found["authors"] == ["A B Doe", "Team"] and found["sections"][0] == {"title": "Abstract", "paragraphs": ["Sum"]}
