@@ -90,6 +90,25 @@ def evidence_need(own: Column, read: Column, asked: Column, out_of_scope: Column
     return F.struct(required.alias("required"), optional.alias("optional"), F.when(open_, "clarification_required").otherwise("resolved").alias("status"))
 
 
+def literature_clause(question: Column, anchors: list[str], explicit: list[str]) -> Column:
+    """The clause of a question that its first scientific word stands in, or without one its first explicit word for literature:
+    from the clause mark before it to the end of its sentence. Without either, the whole question."""
+    said = F.trim(F.coalesce(question, F.lit("")))
+    low = F.lower(said)
+
+    def first(words: list[str]) -> Column:
+        return F.array_min(F.filter(F.array(*[F.instr(low, F.lit(w.lower())) for w in words]), lambda at: at > 0)) if words else F.lit(None).cast("int")
+
+    at = F.coalesce(first(anchors), first(explicit))
+    # What stands before the word: its last part behind a clause mark is the clause's own beginning, or the word begins it.
+    parts = F.split(F.substring(said, F.lit(1), at - 1), r"[,;，；]\s+|\n")
+    begin = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("")
+    rest = F.substring(said, at, F.length(said))
+    whole = F.concat(begin, F.regexp_extract(rest, r"^[^?？.!]*[?？.!]?", 0))
+    cut = F.regexp_replace(whole, r"^[\s,;，；]+|[\s,;，；]+$", "")
+    return F.when(at.isNull() | (cut == ""), said).otherwise(cut)
+
+
 # Implements of a catalogue's exercise names, and what a metric's verdict is called.
 IMPLEMENTS = ("barbell", "dumbbell", "cable", "machine", "smith machine", "bodyweight", "kettlebell", "ez bar")
 VERDICTS = ("plateau candidate", "plateau_candidate", "plateau-candidate", "training gap", "training_gap", "training-gap", "정체 후보", "median e1rm")

@@ -170,3 +170,14 @@ c AS (SELECT a.m AS x, b.m AS y FROM a FULL JOIN b USING (k)), d AS (SELECT coun
 SELECT *, missing = 0 AND improved > worsened AS adopt FROM d""")
 def adoption(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.adopted_share(compared_runs(spark, folder))
+
+
+@query("F23_literature_clauses", """SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'hypertrophy of ' || o_custkey || '?' WHEN 1 THEN 'what of hypertrophy and more' WHEN 2 THEN 'what research says' ELSE 'show my log, please.' END AS clause FROM orders""")
+def literature_clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions that ask for records first and for literature in a later clause."""
+    c = F.col("o_custkey")
+    said = (
+        F.when(c % 4 == 0, F.concat(F.lit("show my log and hypertrophy of "), c, F.lit("? Thanks."))).when(c % 4 == 1, F.lit(" show my log; what of hypertrophy and more"))
+        .when(c % 4 == 2, F.lit("show my log, what research says")).otherwise(F.lit("show my log, please."))
+    )
+    return read(spark, folder, "orders").select("o_orderkey", workflow.literature_clause(said, ["Hypertrophy", "overload"], ["research"]).alias("clause"))

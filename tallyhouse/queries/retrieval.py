@@ -140,3 +140,10 @@ def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 @query("F16_vector_validation", "SELECT count(*)::BIGINT AS vectors, (count(*) FILTER (len(embedding) = 64 AND abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) - 1) <= 1e-5))::BIGINT AS valid FROM embeddings")
 def vector_validation(spark: SparkSession, folder: str) -> DataFrame:
     return vectors(spark, folder).agg(F.count("*").alias("vectors"), F.count_if(text.valid_vector("vector", 64)).alias("valid"))
+
+
+@query("A27_vocabulary", INDEX + "SELECT count(DISTINCT term)::BIGINT AS terms, count(*)::BIGINT AS postings, sum(tf)::BIGINT AS words, max(tf)::BIGINT AS most FROM tf")
+def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """The index' terms, postings and words, and how often a passage has its commonest term."""
+    per_term = retrieval.postings(chunks(spark, folder)).groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("w"), F.max("tf").alias("m"))
+    return per_term.agg(F.count("*").alias("terms"), F.sum("n").alias("postings"), F.sum("w").alias("words"), F.max("m").alias("most"))

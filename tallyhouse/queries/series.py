@@ -225,3 +225,28 @@ def usage_summary(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("value")
     names = F.array_compact(F.array(F.lit("calls"), F.when(v < 0.1, "failures"), F.when(v > 0.9, F.concat(F.lit("fallback:"), "event_type"))))
     return read(spark, folder, "events").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+VIEWS = SETS + """, v AS (SELECT 'raw' AS v, session_id, count(*)::DOUBLE AS n FROM sets GROUP BY 2 UNION ALL SELECT 'distinct', session_id, count(DISTINCT (exercise_name, set_order, weight, reps))::DOUBLE FROM sets GROUP BY 2
+UNION ALL SELECT 'adjusted', session_id, count(DISTINCT (left(exercise_name, 7), set_order, weight, reps))::DOUBLE FROM sets GROUP BY 2)
+SELECT v AS view, median(n) AS median, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.75) AS p75, max(n)::BIGINT AS largest FROM v GROUP BY 1"""
+
+
+@query("A18_session_views", VIEWS)
+def session_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Sets of a session as they are, without repeats, and with names that are joined by their first letters."""
+    rows = log_sets(spark, folder)
+    distinct = lambda name: F.count_distinct(F.struct(name.alias("a"), "set_order", "weight", "reps")).cast("double")
+    sizes = rows.groupBy("session_id").agg(F.count("*").cast("double").alias("raw"), distinct(F.col("exercise_name")).alias("distinct"), distinct(F.left("exercise_name", F.lit(7))).alias("adjusted"))
+    long = sizes.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("n")) for v in ("raw", "distinct", "adjusted")])).alias("x")).select("x.*")
+    p = lambda x: F.percentile("n", F.lit(x))
+    return long.groupBy("view").agg(p(0.5).alias("median"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.max("n").cast("long").alias("largest"))
+
+
+@query("J10_null_safe_collisions", """WITH s AS (SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS a, nullif(l_linestatus, 'O') AS b, l_partkey FROM lineitem), c AS (SELECT l_orderkey, a, b, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1)
+SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, c.n::BIGINT AS n FROM s JOIN c ON s.l_orderkey = c.l_orderkey AND s.a IS NOT DISTINCT FROM c.a AND s.b IS NOT DISTINCT FROM c.b""")
+def null_safe_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose order has others with the same flags, missing flags being values too."""
+    s = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("a"), F.nullif("l_linestatus", F.lit("O")).alias("b"), "l_partkey")
+    c = s.groupBy("l_orderkey", "a", "b").agg(F.count("*").alias("n")).where("n > 1").toDF("o", "ca", "cb", "n")
+    return s.join(c, (s.l_orderkey == c.o) & s.a.eqNullSafe(c.ca) & s.b.eqNullSafe(c.cb)).select("l_orderkey", "l_linenumber", "l_partkey", "n")
