@@ -249,15 +249,30 @@ def covering(spans: list[tuple[int, int]], start: int, end: int) -> list[int]:
 
 
 def least_hitting_set(groups: list[tuple[str, list[str]]]) -> list[str]:
-    """The fewest ids (first in order) that meet one of each `any` group and all of each `all` group; a case has few groups."""
-    needed = sorted({i for match, ids in groups if match == "all" for i in ids})
-    open_ = [set(ids) for match, ids in groups if match == "any" and not set(ids) & set(needed)]
-    others = sorted(set().union(*open_)) if open_ else []
-    for n in range(len(others) + 1):
-        for extra in itertools.combinations(others, n):
-            if all(g & set(extra) for g in open_):
-                return sorted([*needed, *extra])
-    return needed
+    """The fewest ids (of several choices the first in order) that meet one of each `any` group and all of each `all` group.
+
+    Each step branches on the ids of the smallest group that isn't met, to a depth that grows until
+    it suffices, so the work follows the number of ids needed and not of those there are. A group
+    without ids can't be met and asks for nothing more.
+    """
+    needed = {i for match, ids in groups if match == "all" for i in ids}
+    open_ = [set(ids) for match, ids in groups if match == "any" and not set(ids) & needed]
+    if not all(open_):
+        return sorted(needed)
+
+    def choices(taken: frozenset, more: int) -> Iterator[frozenset]:
+        unmet = [g for g in open_ if not g & taken]
+        if not unmet:
+            yield taken
+        elif more:
+            for i in min(unmet, key=len):
+                yield from choices(taken | {i}, more - 1)
+
+    for size in itertools.count():
+        found = {tuple(sorted(c)) for c in choices(frozenset(), size)}
+        if found:
+            return sorted(needed | set(min(found)))
+    raise AssertionError("unreachable")
 
 
 _BLOCK = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>", re.S | re.I)

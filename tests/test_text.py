@@ -1,5 +1,8 @@
 """Passages, periods, routes and checks on inputs written out by hand."""
 
+import itertools
+import random
+
 import pytest
 
 from tallyhouse.functions import periods, text
@@ -199,3 +202,14 @@ def test_front_matter():
     front = "<front><journal-meta><journal-title>J</journal-title></journal-meta><article-meta><contrib-group><contrib contrib-type='author'><name><surname>Doe</surname><given-names>A B</given-names></name></contrib><contrib contrib-type='editor'><name><surname>No</surname></name></contrib><contrib><collab>Team</collab></contrib></contrib-group><abstract><p>Sum</p></abstract></article-meta></front>"
     found = files.article(f"<article>{front}<body><p>x</p></body></article>".encode())
     assert found["journal"] == "J" and found["authors"] == ["A B Doe", "Team"] and found["sections"][0] == {"title": "Abstract", "paragraphs": ["Sum"]}
+
+
+def test_hitting_sets_against_all_sets():
+    rng = random.Random(3)
+    for _ in range(200):
+        groups = [(rng.choice(["any", "any", "all"]), rng.sample("abcdefg", rng.randint(1, 3))) for _ in range(rng.randint(0, 4))]
+        fits = lambda ids, groups=groups: all((set(g) <= set(ids) if m == "all" else set(g) & set(ids)) for m, g in groups)
+        best = min((c for n in range(8) for c in itertools.combinations("abcdefg", n) if fits(c)), key=lambda c: (len(c), c))
+        assert passages.least_hitting_set(groups) == list(best)
+    many = [("any", [f"x{k}", f"y{k}", "common"]) for k in range(40)]
+    assert passages.least_hitting_set(many) == ["common"] and passages.least_hitting_set([("any", []), ("all", ["a"])]) == ["a"]
