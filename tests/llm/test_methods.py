@@ -249,6 +249,19 @@ def test_rows_of_two_layouts(spark):
         chat_format.turns_of_rows(mixed).collect()
 
 
+@pytest.mark.parametrize(("group", "strip"), [(2, 3), (1, 1), (256, 4096)])
+def test_spans_of_any_grouping(spark, monkeypatch, group, strip):
+    monkeypatch.setattr(chat_format, "GROUP_TURNS", group)
+    monkeypatch.setattr(chat_format, "STRIP_CHARS", strip)
+    rng = random.Random(group)
+    said = [(k % 7, k, rng.choice(["user", "assistant"]), "".join(rng.choice(["a", "é", "\n", "<|", "\\", "\U0001f600", "|>"]) for _ in range(rng.randint(0, 9)))) for k in range(60)]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    made = chat_format.formatted(chat_format.turns_of_rows(rows))
+    for r in chat_format.read_back(made).collect():
+        mine = [(role, t) for key, _, role, t in said if key == r.key]
+        assert [tuple(t) for t in r.turns] == mine and r.learned == [t for role, t in mine if role == "assistant"]
+
+
 def test_a_very_long_conversation(spark):
     rows = spark.range(30_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|t|>"), F.col("id").cast("string")).alias("text"))
     got = chat_format.read_back(chat_format.formatted(chat_format.turns_of_rows(rows))).collect()
