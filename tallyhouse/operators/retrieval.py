@@ -105,22 +105,35 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, retain_zero: bool = Fals
 BLOCK_QUERIES, BLOCK_ROWS = 1024, 8192
 
 
+def _comparable(vectors: DataFrame, key: str) -> DataFrame:
+    """key, v, dim of the vectors that a cosine is defined for."""
+    rows = vectors.select(key, F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+
+
 def exact_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank by cosine over all passages: a stated set of queries against all rows.
 
+    Vectors that are null, zero or hold null or non-finite components take no part, as queries or as
+    passages, and vectors are compared with those of their own length alone. Scores are told apart to
+    nine decimals, ties go to the smaller id.
+
     Both sides are dealt in blocks; a block of queries meets a block of passages in one task, which
     passes on each query's best k alone. Norms are taken once a block, and nothing is broadcast.
     """
     ni, nj = (max(1, -(-df.count() // n)) for df, n in ((queries, BLOCK_QUERIES), (vectors, BLOCK_ROWS)))
+    queries, vectors = _comparable(queries, "query_id"), _comparable(vectors, "chunk_id")
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), block("query_id", ni).alias("i")).withColumn("j", every(nj))
-    rows = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("v"), block("chunk_id", nj).alias("j")).withColumn("i", every(ni))
+    asked = queries.withColumn("i", block("query_id", ni)).withColumn("j", every(nj))
+    rows = vectors.withColumn("j", block("chunk_id", nj)).withColumn("i", every(ni))
     kinds = {"query_id": queries.schema["query_id"].dataType, "chunk_id": vectors.schema["chunk_id"].dataType}
     kind = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double"
 
     def unit(x: pd.Series) -> np.ndarray:
         m = np.stack(x.to_numpy())
+        m = m / np.abs(m).max(1)[:, None]  # squares stay finite
         return m / np.sqrt((m * m).sum(1))[:, None]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +147,7 @@ def exact_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[best], "score": row[best]}))
         return pd.concat(out)
 
-    found = asked.where("v IS NOT NULL").groupBy("i", "j").cogroup(rows.where("v IS NOT NULL").groupBy("i", "j")).applyInPandas(compare, kind)
+    found = asked.groupBy("i", "j", "dim").cogroup(rows.groupBy("i", "j", "dim")).applyInPandas(compare, kind)
     return top(found, "query_id", [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
 
 

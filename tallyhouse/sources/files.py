@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.session import qualified
 from tallyhouse.sources import jats
 
 # The raw log's columns, in order.
@@ -145,8 +146,10 @@ def write_matrix(rows: DataFrame, key: str, vector: str, folder: str) -> int:
     """Vectors as .npy matrices, one for each partition, with their keys beside them; returns how many rows. The folder is shared
     by the driver and all executors, and a file is moved into place when it is whole."""
 
+    folder = qualified(rows.sparkSession, folder)
+
     def work(batches):
-        fs, top = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         keys, parts = [], []
         for batch in batches:
@@ -170,11 +173,12 @@ def write_matrix(rows: DataFrame, key: str, vector: str, folder: str) -> int:
 
 def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """key, vector of matrices that write_matrix wrote; each pair of files is read by one task."""
-    fs, top = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+    folder = qualified(spark, folder)
+    fs, top = pafs.FileSystem.from_uri(folder)
     names = sorted(x.base_name[7:-4] for x in fs.get_file_info(pafs.FileSelector(top)) if x.base_name.startswith("matrix-") and x.base_name.endswith(".npy"))
 
     def work(batches):
-        reader, at = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
+        reader, at = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 keys, matrix = (np.load(io.BytesIO(reader.open_input_file(f"{at}/{kind}-{name}.npy").readall()), allow_pickle=False) for kind in ("keys", "matrix"))
