@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tallyhouse.functions.numbers import json_scalar
+
 EXTREME_WEIGHT, HIGH_REPS, E1RM_REPS = 1000, 25, (1, 12)
 
 
@@ -46,10 +48,10 @@ def flagged(sets: DataFrame) -> DataFrame:
     return sets.withColumns({"blocked": metric_blocked(), "outlier_reason": outlier_reason(), "in_volume": in_volume(), "in_e1rm": in_e1rm()})
 
 
-def digest(*columns: str, length: int = 24) -> Column:
-    """First hex digits of the SHA-256 of a JSON array of texts; nulls are written as null, non-ASCII letters as they are."""
-    quoted = [F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null")) for c in columns]
-    return F.left(F.sha2(F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]")), 256), F.lit(length))
+def digest(rows: DataFrame, *columns: str, length: int = 24) -> Column:
+    """First hex digits of the SHA-256 of a JSON array of the columns' values, without spaces, each as its type is written in JSON."""
+    scalars = [json_scalar(F.col(c), rows.schema[c].dataType) for c in columns]
+    return F.left(F.sha2(F.concat(F.lit("["), F.concat_ws(",", *scalars), F.lit("]")), 256), F.lit(length))
 
 
 def lineage(raw: DataFrame, raw_key: list[str], set_key: list[str], row: str = "source_row") -> DataFrame:
@@ -80,7 +82,7 @@ def collisions(sets: DataFrame) -> DataFrame:
     """Sets with how many of their session and exercise have the same place, and an id of such a group."""
     same = W.Window.partitionBy("session_id", "exercise_name", "set_order")
     rows = sets.withColumn("at_place", F.count("*").over(same))
-    return rows.withColumn("has_collision", F.col("at_place") > 1).withColumn("collision_id", F.when(F.col("at_place") > 1, digest("session_id", "exercise_name", "set_order")))
+    return rows.withColumn("has_collision", F.col("at_place") > 1).withColumn("collision_id", F.when(F.col("at_place") > 1, digest(sets, "session_id", "exercise_name", "set_order")))
 
 
 def processed_reason() -> Column:

@@ -45,7 +45,7 @@ def cast_failures(staged: DataFrame, kinds: T.StructType) -> DataFrame:
 
 def dimension(rows: DataFrame, name: str, key: str) -> DataFrame:
     """key, name: each distinct name with a key that any load gives it, so that no load has to number all names in one task."""
-    return rows.where(F.col(name).isNotNull()).select(name).distinct().select(digest(name).alias(key), name)
+    return rows.where(F.col(name).isNotNull()).select(name).distinct().select(digest(rows, name).alias(key), name)
 
 
 def with_key(rows: DataFrame, names: DataFrame, name: str, key: str) -> DataFrame:

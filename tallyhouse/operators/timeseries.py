@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tallyhouse.operators.intervals import held_days
 from tallyhouse.operators.metrics import DAY_MICROS, micros, percent_change, week_of
 
 
@@ -61,15 +62,16 @@ def periods_load(sets: DataFrame, periods: DataFrame, by: str) -> DataFrame:
     """Mean weekly sets, volume and sessions before and during each period, weeks without any counting as zero.
 
     Volumes are summed exactly, as decimals. A period's own weeks are those that its start and end lie in, both included; the weeks before
-    are as many days earlier and leave out the start. Weeks are joined to few periods by range.
+    are as many days earlier and leave out the start. Weeks meet the periods that hold them by bins of time, however many there are.
     """
     weekly = sets.groupBy(by, week_of("started_at").alias("week")).agg(F.count_if("in_volume").alias("sets"), F.sum(F.when(F.col("in_volume"), (F.col("weight") * F.col("reps")).cast("decimal(18,6)")).otherwise(F.lit(0).cast("decimal(18,6)"))).alias("volume"), F.count_distinct("session_id").alias("sessions"))
     weekly = filled_weeks(weekly, by).na.fill(0, ["sets", "volume", "sessions"])
     days = F.greatest(F.datediff("end_on", "start_on"), F.lit(1))
-    p = periods.select(by, "start_on", "end_on", F.date_sub("start_on", days).alias("before_on"))
-    rows = weekly.join(p, by)
-    part = F.when((F.col("week") >= F.col("start_on")) & (F.col("week") <= F.col("end_on")), "during").when((F.col("week") >= F.col("before_on")) & (F.col("week") < F.col("start_on")), "before")
-    return rows.withColumn("part", part).where("part IS NOT NULL").groupBy(by, "start_on", "end_on", "part").agg(F.count("*").alias("weeks"), F.avg("sets").alias("mean_sets"), F.avg("volume").alias("mean_volume"), F.avg("sessions").alias("mean_sessions"))
+    part = lambda name, first, last: F.struct(F.lit(name).alias("part"), F.expr(first).alias("first_on"), F.expr(last).alias("last_on"))
+    spans = periods.select(by, "start_on", "end_on", F.date_sub("start_on", days).alias("before_on"))
+    spans = spans.select(by, "start_on", "end_on", F.explode(F.array(part("during", "start_on", "end_on"), part("before", "before_on", "date_sub(start_on, 1)"))).alias("x")).select(by, "start_on", "end_on", "x.*")
+    rows = held_days(weekly, spans, by, "week", "first_on", "last_on")
+    return rows.groupBy(by, "start_on", "end_on", "part").agg(F.count("*").alias("weeks"), F.avg("sets").alias("mean_sets"), F.avg("volume").alias("mean_volume"), F.avg("sessions").alias("mean_sessions"))
 
 
 def peak_and_latest(bests: DataFrame, by: str) -> DataFrame:

@@ -235,7 +235,7 @@ def exact_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 COLLISIONS = SETS + """SELECT set_id, at_place::BIGINT AS at_place, at_place > 1 AS has_collision,
-  CASE WHEN at_place > 1 THEN left(sha256('["' || session_id || '","' || exercise_name || '","' || set_order || '"]'), 24) END AS collision_id
+  CASE WHEN at_place > 1 THEN left(sha256('[' || session_id || ',"' || exercise_name || '",' || set_order || ']'), 24) END AS collision_id
 FROM (SELECT *, count(*) OVER (PARTITION BY session_id, exercise_name, set_order) AS at_place FROM sets)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyhouse.operators import metrics, timeseries
+from tallyhouse.operators import metrics, orderstats, timeseries
 from tallyhouse.plans.registry import query
 from tallyhouse.queries.records import dates_as_text, flagged, r6
 from tallyhouse.sources.tables import SETS, log_sets, read, user_sessions
@@ -192,12 +192,8 @@ def usage_by_node(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("A31_A33_nearest_rank_p95", """SELECT event_type, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95))::INT + 1] AS p95, median(value) AS median FROM events GROUP BY 1""")
 def nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """The value at place min(n - 1, floor(0.95 n)) of the sorted values, which interpolates nothing."""
-    rows = read(spark, folder, "events").select("event_type", "value")
-    w = W.Window.partitionBy("event_type")
-    placed = rows.withColumn("i", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)) + 1
-    return placed.groupBy("event_type").agg(F.max(F.when(F.col("i") == at, F.col("value"))).alias("p95"), F.median("value").alias("median"))
+    """The value at place min(n - 1, floor(0.95 n)) of the sorted values, which interpolates nothing, and the median."""
+    return orderstats.nearest_ranks(read(spark, folder, "events"), ["event_type"], "value", {"p95": 0.95})
 
 
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
