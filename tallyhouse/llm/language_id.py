@@ -150,17 +150,16 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
 
 
 def with_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """All columns of docs with _lang and _score, predicted once for each row, so that nothing is joined."""
-    known, at = Profiles(profiles), docs.columns.index("text")
+    """row (all columns of docs), lang_pred and score as of predict(), for each row, so that nothing is joined."""
+    known = Profiles(profiles)
 
     def work(batches):
         for batch in slices(batches):
-            found = [known.predict(t) for t in batch.column(at).to_pylist()]
-            added = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, "_lang", "_score"])
+            found = [known.predict(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(work, kind)
+    kind = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(work, kind)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

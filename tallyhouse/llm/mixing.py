@@ -62,29 +62,35 @@ def _cumulative(rate: Column) -> Column:
     return F.struct(parts.alias("parts"), F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step)["cdf"].alias("cdf"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
-    """All columns of docs, with rate, copy (from 0) and mix_key; rows lie in the order of mix_key inside partitions
+def replicated(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+    """row (all columns of docs), rate, copy (from 0) and mix_key; rows lie in the order of mix_key inside partitions
     that mix_key is dealt over, which is a random order of the whole.
 
-    A null id draws as an empty one; repeated rows draw the same number and are each repeated; a
-    null source is a source of its own; a null text counts no characters; an empty table stays
-    empty. Input columns named rate, copy or mix_key are replaced.
+    A null id draws as an empty one; repeated rows draw the same number and are each repeated; rows of
+    equal mix_key, which are those of one id and copy, lie beside each other in no particular order. A
+    null source is a source of its own; a null text counts no characters; an empty table stays empty.
     """
-    docs = docs.drop("rate", "copy", "mix_key")
-    known = rates(docs, weights, total, temperature).select(F.col("source").alias("_source"), "rate", _cumulative(F.col("rate")).alias("_d"))
+    known = rates(docs, weights, total, temperature).select("source", "rate", _cumulative(F.col("rate")).alias("d"))
     # Written, so that the planner knows its size and broadcasts it only if it is small; a hot source is split by AQE.
     known = staged(known, "rates")
-    rows = docs.join(known, docs["source"].cast("string").eqNullSafe(known._source)).drop("_source")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.join(known, F.col("row.source").cast("string").eqNullSafe(known.source))
     # Numbers are drawn once and then looked up, as a lambda's body is evaluated for every element.
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_d.parts")), lambda j: uniform(F.col("doc_id"), F.lit(seed), j))
-    count = F.aggregate(F.transform(drawn, lambda u: F.size(F.filter("_d.cdf", lambda c: c <= u))), F.lit(0), lambda a, x: a + x)
-    rows = rows.withColumn("_n", F.when(F.col("rate") > 0, count).otherwise(0))
-    rows = rows.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_d", "_n")
-    rows = rows.withColumn("mix_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed), "copy", F.lit("order")))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("d.parts")), lambda j: uniform(F.col("row.doc_id"), F.lit(seed), j))
+    count = F.aggregate(F.transform(drawn, lambda u: F.size(F.filter("d.cdf", lambda c: c <= u))), F.lit(0), lambda a, x: a + x)
+    rows = rows.select("row", "rate", F.when(F.col("rate") > 0, count).otherwise(0).alias("n")).where("n > 0")
+    rows = rows.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    rows = rows.withColumn("mix_key", F.xxhash64(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(seed), "copy", F.lit("order")))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(parts, "mix_key").sortWithinPartitions("mix_key")
 
 
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+    """All columns of docs, with rate, copy and mix_key as of replicated(); input columns of these names are replaced."""
+    rows = replicated(docs.drop("rate", "copy", "mix_key"), weights, total, temperature, seed)
+    return rows.select("row.*", "rate", "copy", "mix_key")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "lang", "source", "n_chars", "copy", F.round("rate", 9).alias("rate"))

@@ -172,20 +172,25 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The kept documents with all their columns; frequent lines are gone from their texts, and n_chars follows."""
+    """The kept documents with all their columns; frequent lines are gone from their texts, and n_chars follows.
+
+    Documents are judged as by judged(): a null text is empty and goes; rows with equal id, source and
+    text are treated alike, and repeated rows stay repeatedly. An empty table stays empty, and columns
+    of any other name are carried along.
+    """
     acted = _judged_rows(docs, rules).where("NOT kept OR removed_lines IS NOT NULL")
-    acted = acted.groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).agg(F.min("kept").alias("_kept"), F.first("removed_lines").alias("_lines"))
     # Texts aren't shuffled while the documents that lose lines or go are few.
-    acted = small(staged(acted, "acted"))
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].cast("long").eqNullSafe(acted._doc) & docs["source"].cast("string").eqNullSafe(acted._host) & (key == acted._key)
-    rows = docs.join(acted, same, "left").where(F.coalesce("_kept", F.lit(True)))
-    keep = F.filter(F.split(docs["text"], "\n", -1), lambda x: ~F.array_contains("_lines", F.xxhash64(normalised(x))))
-    text = F.when(F.col("_lines").isNull(), docs["text"]).otherwise(F.array_join(keep, "\n"))
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    acted = small(staged(acted.groupBy("doc_id", "host", "text_key").agg(F.min("kept").alias("kept"), F.first("removed_lines").alias("lines")), "acted"))
+    # The document is one column, so that none of its own can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col("row.text").cast("string")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(acted.doc_id) & F.col("row.source").cast("string").eqNullSafe(acted.host) & (F.xxhash64(F.coalesce(text, F.lit(""))) == acted.text_key)
+    rows = rows.join(acted.withColumn("acted", F.lit(True)), same, "left").where(F.col("acted").isNull() | F.col("kept"))
+    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("lines", F.xxhash64(normalised(x)))), "\n")
+    row = F.col("row").withField("text", rest)
     if "n_chars" in docs.columns:
-        columns[docs.columns.index("n_chars")] = F.when(F.col("_lines").isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return rows.select(*columns)
+        row = row.withField("n_chars", F.length(rest).cast(docs.schema["n_chars"].dataType))
+    return rows.select(F.when(F.col("lines").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import arrow_batches, new_path, slices, table
 from tallyhouse.llm.tokens import encoder
+from tallyhouse.session import qualified
 
 MAGIC = b"THTOKID1"
 HEADER, FOOTER = "<8sQ", "<QQ8s"
@@ -37,7 +38,8 @@ BATCH_ROWS, TIE_LETTERS = 2048, 32
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    """The file system of a path that names it, as qualified() makes it."""
+    return pafs.FileSystem.from_uri(path)
 
 
 def put(path: str, chunks: Iterator[bytes]) -> int:
@@ -112,6 +114,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     works; a worker holds one slice of rows and a shard's index at a time.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(docs, tokenizer, end_id)
     key = dictionary_hash(dictionary)
@@ -120,7 +123,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     end = end_id.to_bytes(4, "little")
 
     def write(batches):
-        shard, index, totals = TaskContext.get().partitionId(), [], [0, 0]
+        shard, index, totals = TaskContext.get().partitionId(), [], [0, 0, None, None]
 
         def chunks():
             compressor, at = _compressor(dictionary), struct.calcsize(HEADER)
@@ -133,19 +136,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     at += len(frame)
                     yield frame
             rows = np.array(index, INDEX)
-            totals[:] = len(rows), int(rows["ids"].sum())
+            named = rows["doc_id"][rows["null_id"] == 0]
+            totals[:] = len(rows), int(rows["ids"].sum()), *((int(named[0]), int(named[-1])) if len(named) else (None, None))
             yield rows.tobytes()
             yield struct.pack(FOOTER, at, len(rows), MAGIC)
 
         size = put(f"{folder}/shard-{shard:06d}.tok", chunks())
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in (shard, *totals, size)], ["shard", "docs", "ids", "bytes"])
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in (shard, *totals, size)], ["shard", "docs", "ids", "first", "last", "bytes"])
 
     with arrow_batches(spark):
-        done = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, TIE_LETTERS)).sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, docs long, ids long, bytes long").collect()
+        done = docs.repartitionByRange(n, "doc_id", F.substring("text", 1, TIE_LETTERS)).sortWithinPartitions("doc_id", "text").mapInArrow(write, "shard long, docs long, ids long, first long, last long, bytes long").collect()
     before, listed = 0, []
     for row in sorted(done, key=lambda r: r.shard):
         if row.docs:
-            listed.append({"shard": row.shard, "file": f"shard-{row.shard:06d}.tok", "docs": row.docs, "ids": row.ids, "bytes": row.bytes, "start": before})
+            listed.append({"shard": row.shard, "file": f"shard-{row.shard:06d}.tok", "docs": row.docs, "ids": row.ids, "bytes": row.bytes, "start": before, "first": row.first, "last": row.last})
             before += row.ids
     manifest = {"format": MAGIC.decode(), "dictionary": f"{key:016x}", "end_id": end_id, "shards": listed}
     put(f"{folder}/manifest.json", iter([json.dumps(manifest).encode()]))
@@ -159,6 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+    folder = qualified(spark, folder)
     manifest = json.loads(get(f"{folder}/manifest.json"))
     kind = "doc_id long, start long, n_tokens long, ids binary"
     if not manifest["shards"]:
@@ -204,10 +209,15 @@ def open_shard(path: str, key: int):
 
 
 def document_ids(folder: str, doc_id: int) -> np.ndarray | None:
-    """The ids of one document, found through the indexes and read alone."""
+    """The ids of one document, found through the index of the shards whose range of ids has it, and read alone.
+
+    Of rows of one id the first is read. The folder names its file system, as qualified() makes it.
+    """
     manifest = json.loads(get(f"{folder}/manifest.json"))
     decompressor = _decompressor(get(f"{folder}/{manifest['dictionary']}.dict"))
     for shard in manifest["shards"]:
+        if shard["first"] is None or not shard["first"] <= doc_id <= shard["last"]:
+            continue
         index, fetch = open_shard(f"{folder}/{shard['file']}", int(manifest["dictionary"], 16))
         found = np.flatnonzero((index["doc_id"] == doc_id) & (index["null_id"] == 0))
         if len(found):
