@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tallyhouse.llm import language_id, mixing, near_dedup, packing, quality_rules
 from tallyhouse.llm.common import dropped, id_crc, made, small, staged, table
@@ -19,38 +18,57 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that many documents of their source share."""
+    """Documents that pass the rules, without the lines that many documents of their source share.
+
+    A null text goes, a null source is a source of its own, repeated rows stay repeatedly and are judged
+    alike, an empty table stays empty, and other columns of any name are carried along.
+    """
     return quality_rules.cleaned(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, with it as their lang; those without letters or a near profile go.
 
-    Profiles are learned from the documents' own languages, but for the fourth of ids that is held out.
+    Profiles are learned from the documents' own languages, but for the fourth of ids that is held out
+    and rows without an id or lang. Equal distances go to the first language by name. Repeated rows stay
+    repeatedly, an empty table stays empty, and other columns of any name are carried along.
     """
     learned = language_id.learn(docs.where("doc_id IS NOT NULL").where(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2))
     known = language_id.with_language(docs, learned)
-    told = known.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
-    return told.select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    told = known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return told.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (five-word shingles, similarity 0.8), the one with the smallest id."""
-    found = staged(near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "classes")
-    same = lambda ids: docs["doc_id"].cast("long") == ids["_id"]
-    # Most documents stay, so those that go and the ids that are repeated are the smaller tables to meet.
-    gone = small(staged(found.where("NOT kept OR n > 1").select(F.col("doc_id").alias("_id")), "gone"))
-    repeated = small(staged(found.where("kept AND n > 1").select(F.col("doc_id").alias("_id")), "repeated"))
-    # Rows of one id are one document.
-    order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.join(repeated, same(repeated), "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return docs.join(gone, same(gone), "left_anti").union(first)
+    """One row of each near-duplicate class (five-word shingles, similarity 0.8), the one with the smallest id.
+
+    Rows are decided one by one: of repeated rows one stays, and different texts of one id are documents
+    of their own, so a text goes only if a near copy of it stays. To tell them apart, rows whose id is
+    null or repeated get numbers below all ids; of a class with such rows one of them stays. Texts
+    without words are near copies of nothing. An empty table stays empty, and other columns of any name
+    are carried along.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    ids = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select("id")
+    repeated = small(staged(ids.select("id", F.lit(True).alias("repeated")), "repeated"))
+    lowest = rows.agg(F.coalesce(F.min("id"), F.lit(0))).collect()[0][0]
+    same = rows["id"].eqNullSafe(repeated["id"])
+    # Numbers are written with their rows, so that they are the same whenever they are read.
+    odd = staged(rows.join(repeated, same, "left_semi").select("row", (F.lit(min(lowest, 0) - 1) - F.monotonically_increasing_id()).alias("id")), "numbered")
+    every = rows.join(repeated, same, "left_anti").union(odd)
+    found = near_dedup.near_duplicates(every.select(F.col("id").alias("doc_id"), "row.text"))
+    # Most documents stay, so those that go are the smaller table to meet.
+    gone = small(staged(found.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "gone"))
+    return every.join(gone, "id", "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to their sources' target weights, in a random order of the whole; a source without characters has none,
-    null ids draw alike, and an empty table stays empty."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Documents repeated to their sources' target weights, in a random order of the whole.
+
+    A source without characters has none, null ids draw alike, repeated rows are each repeated, an empty
+    table stays empty, and other columns of any name, such as rate or copy, are carried along.
+    """
+    return mixing.replicated(docs).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
