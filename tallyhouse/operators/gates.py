@@ -9,8 +9,10 @@ import hashlib
 import json
 import math
 import os
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,28 +153,60 @@ def response_text(body: str | None) -> str | None:
     return text or None
 
 
-# Units by what they are written as after a number.
+class Unit(NamedTuple):
+    """What a unit is called: English nouns in the singular, signs and short forms, and Korean nouns."""
+
+    nouns: str
+    signs: str = ""
+    korean: str = ""
+
+
+#: Units by the sign that a quantity gets, kind by kind. Plurals follow by rule.
 UNITS = {
-    "seconds": ("second", "seconds", "sec", "secs", "초"), "minutes": ("minute", "minutes", "min", "mins", "분"), "hours": ("hour", "hours", "hr", "hrs", "시간"), "days": ("day", "days", "일"),
-    "weeks": ("week", "weeks", "주"), "months": ("month", "months", "개월", "월"), "years": ("year", "years", "년"), "kg": ("kg", "kilogram", "kilograms", "킬로그램"), "lb": ("lb", "lbs", "pound", "pounds", "파운드"),
-    "percent": ("%", "percent"), "sessions": ("session", "sessions", "세션"), "reps": ("rep", "reps", "repetition", "repetitions", "time", "times", "회", "번"), "sets": ("set", "sets", "세트"),
-    "cm": ("cm", "centimeter", "centimeters", "센티미터"), "m": ("m", "meter", "meters", "미터"), "km": ("km", "kilometer", "kilometers", "킬로미터"), "m_per_second": ("m/s",), "km_per_hour": ("km/h",),
-    "g": ("g", "gram", "grams", "그램"), "watts": ("w", "watt", "watts", "와트"), "newtons": ("n", "newton", "newtons", "뉴턴"), "volts": ("v", "volt", "volts", "볼트"), "amps": ("a", "amp", "amps", "ampere", "amperes", "암페어"),
+    # mass and force
+    "g": Unit("gram gramme", "g", "그램"), "kg": Unit("kilogram kilogramme kilo", "kg", "킬로그램 킬로"), "mg": Unit("milligram", "mg", "밀리그램"), "lb": Unit("pound", "lb lbs", "파운드"), "N": Unit("newton", "n", "뉴턴"),
+    # length and speed
+    "m": Unit("meter metre", "m", "미터"), "cm": Unit("centimeter centimetre", "cm", "센티미터 센치"), "mm": Unit("millimeter millimetre", "mm", "밀리미터"), "km": Unit("kilometer kilometre", "km", "킬로미터"),
+    "m/s": Unit("", "m/s"), "km/h": Unit("", "km/h kph"),
+    # time
+    "s": Unit("second sec", "s", "초"), "min": Unit("minute min", "", "분"), "h": Unit("hour hr", "h", "시간"), "d": Unit("day", "", "일"), "wk": Unit("week wk", "", "주간 주"), "mo": Unit("month", "", "개월 월"), "y": Unit("year yr", "", "년간 년"),
+    # electricity and power
+    "A": Unit("ampere amp", "a", "암페어"), "V": Unit("volt", "v", "볼트"), "W": Unit("watt", "w", "와트"),
+    # counts and shares
+    "%": Unit("percent", "%", "퍼센트 프로"), "set": Unit("set", "", "세트"), "rep": Unit("repetition rep time", "", "회 번"), "session": Unit("session", "", "세션"),
 }
 ACRONYMS = ("e1rm", "1rm", "rir", "rpe")
+#: Days that are written in full, whose numbers are no quantities.
+DATES = r"(?<![0-9])[0-9]{4}(?:[-/.][0-9]{1,2}[-/.][0-9]{1,2}|\s?년\s?[0-9]{1,2}\s?월\s?[0-9]{1,2}\s?일)(?![0-9])"
+
+
+def unit_forms() -> dict[str, str]:
+    """Every written form of a unit with the unit's sign."""
+    forms = {}
+    for sign, unit in UNITS.items():
+        for noun in unit.nouns.split():
+            forms |= {noun: sign, noun + "s": sign}
+        forms |= dict.fromkeys([*unit.signs.split(), *unit.korean.split()], sign)
+    return forms
 
 
 def quantities(text: Column) -> Column:
-    """Sorted `number unit` of a text, the unit by its group's name, as it is written if no group has it, or empty."""
-    said = F.lower(F.coalesce(text, F.lit("")))
-    names = F.create_map(*[F.lit(x) for group, forms in UNITS.items() for form in forms for x in (form, group)])
-    known = "|".join(sorted((w.replace("%", "%") for forms in UNITS.values() for w in forms), key=lambda w: (-len(w), w)))
-    found = F.regexp_extract_all(said, F.lit(rf"(?<![0-9a-z.])[0-9]+(?:\.[0-9]+)?(?:\s?(?:{known})(?![a-z/])|[a-z°µ][a-z°µ/²³^]*)?"), F.lit(0))
+    """Sorted `number unit` of a text, the unit by its sign and power, as it is written if it isn't known, or empty.
+
+    A hyphen or a space may stand before a known unit and ², ^2, ³ or ^3 after it; full dates are left out.
+    """
+    said = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), DATES, " ")
+    forms = unit_forms()
+    names = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
+    known = "|".join(sorted((re.escape(w) for w in forms), key=lambda w: (-len(w), w)))
+    found = F.regexp_extract_all(said, F.lit(rf"(?<![0-9a-z.])[0-9]+(?:\.[0-9]+)?(?:[\s-]?(?:{known})(?:[²³]|\^[23])?(?![a-z/])|[a-z°µ][a-z°µ/²³^]*)?"), F.lit(0))
 
     def one(x: Column) -> Column:
         number = F.regexp_extract(x, r"^[0-9]+(?:\.[0-9]+)?", 0)
-        unit = F.trim(F.substring(x, F.length(number) + 1, F.length(x)))
-        return F.concat_ws(" ", number, F.nullif(F.coalesce(F.element_at(names, unit), unit), F.lit("")))
+        unit = F.regexp_replace(F.regexp_replace(F.substring(x, F.length(number) + 1, F.length(x)), r"^[\s-]", ""), r"\^", "")
+        power = F.translate(F.regexp_extract(unit, "[²³23]$", 0), "²³", "23")
+        bare = F.regexp_replace(unit, "[²³23]$", "")
+        return F.concat_ws(" ", number, F.nullif(F.coalesce(F.concat(F.element_at(names, bare), power), unit), F.lit("")))
 
     return F.array_sort(F.transform(found, one))
 

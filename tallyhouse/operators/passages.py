@@ -149,30 +149,27 @@ def overlap_loss(original: list[str], chunks: list[str], overlap: int) -> int:
     return sum((want - have).values())
 
 
-def children(text: str, most: int, count=lambda t: len(t.split())) -> list[tuple[int, int, bool]]:
-    """Sentences packed to children of at most `most` tokens: start, end, whether a sentence was cut by force."""
-    out: list[tuple[int, int, bool]] = []
-    held: tuple[int, int] | None = None
+def children(text: str, most: int, units: list[tuple[int, int]] | None = None) -> list[tuple[int, int, bool]]:
+    """Sentences packed to children of at most `most` units, words unless given: start, end, whether a sentence was cut by force.
 
-    def flush() -> None:
-        nonlocal held
-        if held:
-            out.append((*held, False))
-            held = None
-
-    for start, end in sentence_spans(text):
-        start += len(text[start:end]) - len(text[start:end].lstrip())
-        end = start + len(text[start:end].rstrip())
-        if count(text[start:end]) > most:
-            flush()
-            words = [(m.start() + start, m.end() + start) for m in re.finditer(r"\S+", text[start:end])]
-            out += [(words[k][0], words[min(k + most, len(words)) - 1][1], True) for k in range(0, len(words), most)]
-        elif held and count(text[held[0] : end]) <= most:
-            held = (held[0], end)
+    Units are counted once for the whole text, so how many a run of sentences has is a difference of two
+    running counts, and the last sentence that still fits is looked up. A sentence of its own that
+    doesn't fit is cut after every `most` units.
+    """
+    units = [m.span() for m in _WORD.finditer(text)] if units is None else units
+    starts = [a for a, _ in units]
+    spans = [(b - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in sentence_spans(text)]
+    upto = [bisect.bisect_left(starts, b) for _, b in spans]
+    out, nth = [], 0
+    while nth < len(spans):
+        first = bisect.bisect_left(starts, spans[nth][0])
+        fitting = bisect.bisect_right(upto, first + most)
+        if fitting > nth:
+            out.append((spans[nth][0], spans[fitting - 1][1], False))
         else:
-            flush()
-            held = (start, end)
-    flush()
+            cuts = [*range(first, upto[nth], most), upto[nth]]
+            out += [(units[a][0], units[b - 1][1], True) for a, b in itertools.pairwise(cuts)]
+        nth = max(nth + 1, fitting)
     return out
 
 
@@ -195,6 +192,18 @@ def children_of_parents(passages: DataFrame, key: str, text: str = "text", most:
     return cut.join(parents, "parent_id").select("parent_id", "child_id", "start", "end", F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")).alias("child"))
 
 
+def _token_spans(text: str, offsets: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of a tokenizer's tokens without white space at their begin; tokens that share a letter are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in offsets:
+        a = b - len(text[a:b].lstrip())
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif a < b:
+            out.append((a, b))
+    return out
+
+
 def token_children(passages: DataFrame, key: str, tokenizer: str, most: int = 128, special: int = 2, text: str = "text") -> DataFrame:
     """Like with_children, with sizes in a tokenizer's tokens and room for its special ones in each child: parent_id, nth, start, end, forced."""
 
@@ -203,16 +212,16 @@ def token_children(passages: DataFrame, key: str, tokenizer: str, most: int = 12
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(tokenizer)
-        count = lambda t: len(made.encode(t, add_special_tokens=False).ids)
+        coded = lambda t: made.encode(t, add_special_tokens=False)
         out = []
         for v in values:
             found = []
-            for a, b, forced in children(v or "", most - special, count):
-                # Words cut by force may have many tokens each; such a piece is halved until it fits.
+            for a, b, forced in children(v or "", most - special, _token_spans(v or "", coded(v or "").offsets)):
+                # A piece by itself may have more tokens than within its text; such a piece is halved until it fits.
                 todo = [(a, b)]
                 while todo:
                     x, y = todo.pop()
-                    if y - x > 1 and count(v[x:y]) > most - special:
+                    if y - x > 1 and len(coded(v[x:y]).ids) > most - special:
                         todo += [((x + y) // 2, y), (x, (x + y) // 2)]
                     else:
                         found.append({"start": x, "end": y, "forced": forced})

@@ -52,3 +52,12 @@ def test_json_lines(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":null,"b":2,"c":1.5,"d":1.5}']
     with pytest.raises(Exception, match="(?i)already exists"):
         gates.write_json_lines(rows, str(tmp_path / "out"))
+
+
+def test_quantities_of_two_languages(spark):
+    """The same amounts, however a unit is joined, and other ones told apart."""
+    same = [("a 12-week plan", "12주 계획"), ("3 sets of 5 reps", "5회 3세트"), ("1.5 m/s over 20 metres", "1.5m/s, 20미터"), ("25 kg/m² and 30 kg", "30킬로그램 25 kg/m²"), ("on 2024-03-05 he lifted 80 kilos", "2024년 3월 5일 80kg"), ("90 % of 1RM", "1RM의 90퍼센트"), ("6 m^2", "6 m²"), ("4 days in 2 months", "2개월에 4일"), (None, "")]
+    other = [("12-week", "12일", "unit_preservation"), ("6 m^2", "6 m", "unit_preservation"), ("80 kg", "81 kg", "number_preservation,unit_preservation"), ("RPE 8", "RIR 8", "acronym_preservation")]
+    rows = spark.createDataFrame([(a, b, "") for a, b in same] + other, "a string, b string, lost string")
+    got = rows.select("a", "lost", F.array_join(gates.lost_in_translation(F.col("a"), F.col("b")), ",").alias("told")).collect()
+    assert [(r.a, r.told) for r in got] == [(r.a, r.lost) for r in got]
