@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -18,19 +19,23 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 
+@functools.cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the session's spark.checkpoint.dir. Where that is unset (tests on one
-    machine) a temporary folder is made and set, which only a local master may do.
+    machine) a temporary folder is made, which only a local master may do.
     """
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local()
     return found.rstrip("/")
 
 
