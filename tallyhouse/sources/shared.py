@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -12,14 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 _MADE: list[str] = []
 
 
+@functools.cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, which only a local master may do, a temporary folder is made and set."""
+    """The session's spark.checkpoint.dir; where it is unset, which only a local master may do, a temporary folder is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local()
     return found.rstrip("/")
 
 
