@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from tallyhouse.queries import evaluation, exact, extras, gates, loading, planning, quality, records, retrieval, series, streams, texts  # noqa: F401
+from tallyhouse.queries import datasets, evaluation, exact, extras, gates, loading, planning, quality, records, retrieval, series, streams, texts  # noqa: F401
