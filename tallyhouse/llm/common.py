@@ -105,13 +105,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a small table that are sent to every executor at most; with narrow rows, some tens of MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a small table that are sent to every executor at most, and bytes of its files.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, to be broadcast if it is counted to have few rows; else it is joined by a shuffle."""
-    return F.broadcast(written) if written.count() <= rows else written
+    """A written table, to be broadcast if it is counted to have few rows and its files are small; else it is joined by a shuffle."""
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(written) if size <= BROADCAST_BYTES and written.count() <= rows else written
 
 
 def id_crc(doc_id: Column) -> Column:
