@@ -95,7 +95,8 @@ def recomputed(cases: DataFrame, sets: DataFrame, lineage: DataFrame) -> DataFra
     def told(rows: DataFrame, fields: dict[str, Column], error: Column | None = None) -> None:
         value = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
         bad = error if error is not None else F.lit(None).cast("string")
-        out.append(rows.select("case_id", F.when(bad.isNull(), value).alias("actual"), bad.alias("error")))
+        # Each operation's results are written, as one plan of all ten would be planned anew after each of its many stages.
+        out.append(written(rows.select("case_id", F.when(bad.isNull(), value).alias("actual"), bad.alias("error")), "results"))
 
     summary = sets.agg(F.count_distinct("session_id").alias("n"), F.min("started_at").alias("a"), F.max("started_at").alias("z"))
     told(one(summary, "session_summary"), {"session_count": F.col("n"), "first_session": _said(F.col("a")), "last_session": _said(F.col("z"))})
@@ -170,6 +171,7 @@ def recomputed(cases: DataFrame, sets: DataFrame, lineage: DataFrame) -> DataFra
 
 def gold_problems(cases: DataFrame, sets: DataFrame, lineage: DataFrame) -> DataFrame:
     """case_id, operation, path, problem, expected, actual of cases (with expected, JSON, and tolerance) whose recomputed result is another one or an error."""
+    cases = written(cases, "cases")
     made = written(recomputed(cases, sets, lineage).join(cases.select("case_id", "expected", "tolerance"), "case_id"), "recomputed")
     failed = made.where("error IS NOT NULL").select("case_id", "operation", F.lit("expected").alias("path"), F.col("error").alias("problem"), "expected", F.lit(None).cast("string").alias("actual"))
     return failed.union(differences(made.where("error IS NULL"), "case_id", "expected", "actual", "tolerance").join(made.select("case_id", "operation"), "case_id").select("case_id", "operation", "path", "problem", "expected", "actual"))

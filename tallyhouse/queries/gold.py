@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import gold
 from tallyhouse.plans.registry import query
 from tallyhouse.queries.records import RAW, flagged, lineage
+from tallyhouse.sources.shared import written
 from tallyhouse.sources.tables import SETS
 
 #: Two years, half a year and a pause that cases ask about, and how far a number may be off.
@@ -72,7 +73,7 @@ FROM actual a, json_tree(a.j) f WHERE f.type NOT IN ('OBJECT', 'ARRAY', 'NULL')"
 def recomputed(spark: SparkSession, folder: str) -> DataFrame:
     """Every single value of all ten operations' results, all cases planned once."""
     sets = flagged(spark, folder)
-    made = gold.recomputed(cases(sets), sets, lineage(spark, folder))
+    made = gold.recomputed(written(cases(sets), "cases"), sets, lineage(spark, folder))
     leaves = gold.flattened(made.where("error IS NULL"), "case_id", "actual", "").where("kind NOT IN ('object', 'array')")
     plain = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit("["), "text", F.lit("]")), "$[0]")).when(F.col("kind") == "boolean", F.col("text"))
     return leaves.select(F.col("case").alias("case_id"), "path", F.round("number", 3).alias("number"), plain.alias("text"))
@@ -86,7 +87,7 @@ UNION ALL SELECT 'e1rm_interval_summary/' || e, 'expected', 'not_enough_sessions
 def gold_problems(spark: SparkSession, folder: str) -> DataFrame:
     """Stored results of which some have another number, one more field, a text for a number, broken JSON, another name or a longer list."""
     sets = flagged(spark, folder)
-    rows = cases(sets)
+    rows = written(cases(sets), "cases")
     stored = gold.recomputed(rows, sets, lineage(spark, folder)).select("case_id", "actual")
     said = lambda operation, digit: F.startswith("case_id", F.lit(operation + "/")) & (F.right("case_id", F.lit(1)) == digit)
     changed = (
