@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.operators.cleaning import epley
+from tallyhouse.sources.shared import written
 
 DAY_MICROS = 86_400_000_000
 PLATEAU_SESSIONS, PLATEAU_DAYS, PLATEAU_CHANGE, PLATEAU_RANGE = 8, 42, 2.5, 12.0
@@ -47,6 +47,7 @@ def first_last_medians(bests: DataFrame, n: int = 5, by: str = "exercise_name")
     if not 1 <= n <= 50:
         raise ValueError("invalid_session_count")
     order = ["started_at", "session_id"]
+    bests = written(bests.select(by, *order, "best"), "bests")  # looked at three times
 
     def side(name: str, *by_time: Column) -> DataFrame:
         # Ranked apart and cut at once, so that no task sorts more than n rows of each of its groups' parts.

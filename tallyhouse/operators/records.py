@@ -30,10 +30,12 @@ def resolve_name(names: DataFrame, wanted: str, column: str = "exercise_name") -
 
 
 def sessions(sets: DataFrame) -> DataFrame:
-    """A row for each session of the sets given; a filter on exercises belongs before it and changes the counts."""
-    return sets.groupBy("session_id", "started_at").agg(
-        F.count_distinct("set_id").alias("set_count"), F.count_distinct("exercise_name").alias("exercise_count"), F.array_join(F.array_sort(F.collect_set("exercise_name")), "|").alias("exercise_names")
-    )
+    """A row for each session of the sets given; a filter on exercises belongs before it and changes the counts.
+
+    Sets are known by their ids. A session's names are gathered once, as few as its exercises, and counted from that.
+    """
+    rows = sets.groupBy("session_id", "started_at").agg(F.count_distinct("set_id").alias("set_count"), F.array_sort(F.collect_set("exercise_name")).alias("names"))
+    return rows.select("session_id", "started_at", "set_count", F.size("names").cast("long").alias("exercise_count"), F.array_join("names", "|").alias("exercise_names"))
 
 
 def limited(rows: DataFrame, order: list[str], limit: int) -> DataFrame:

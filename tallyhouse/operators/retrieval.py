@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.functions.text import tokens
+from tallyhouse.sources.shared import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Distinct terms of all queries that are sent to every executor at most.
@@ -73,19 +74,36 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics"))
 
 
+def _asked_index(chunks: DataFrame, asked: DataFrame) -> Index:
+    """Postings of the asked terms and the corpus' statistics from one pass over the texts, written.
+
+    A passage's words are dealt out once, with a row besides that has its length and no term.
+    """
+    words = chunks.select("chunk_id", tokens("text").alias("t"))
+    dealt = words.select("chunk_id", F.coalesce(F.size("t"), F.lit(0)).alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    known = asked.select("term", F.lit(True).alias("asked"))
+    kept = dealt.join(F.broadcast(known) if few else known, "term", "left").where(F.col("asked") | F.col("term").isNull())
+    index = written(kept.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
+    counted = index.where("term IS NULL").agg(F.count("*").alias("passages"), F.avg("length").alias("mean_length"))
+    return Index(index.where("term IS NOT NULL"), counted)
+
+
 def bm25_scores(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
     """query_id, chunk_id, score of every passage that a query matches. Only postings of the queries' terms are made, or of a
     stored index read."""
-    terms = query_terms(queries)
+    terms = written(query_terms(queries), "query-terms")
     asked = terms.select("term").distinct()
     if isinstance(chunks, Index):
         wanted, counted = chunks.postings.join(asked, "term", "left_semi"), chunks.statistics
     else:
-        wanted, counted = postings(chunks, terms=asked), statistics(chunks)
+        made = _asked_index(chunks, asked)
+        wanted, counted = made.postings, made.statistics
     stats = F.broadcast(counted.select("passages", "mean_length"))  # one row
-    weighed = wanted.join(document_frequency(wanted), "term").crossJoin(stats)
-    part = idf(F.col("df"), F.col("passages")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return weighed.withColumn("part", part).join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * F.col("part")).alias("score")).where("score > 0")
+    # A term's weight in a query is known before its postings are met, so each of these is weighed by one lookup.
+    weights = terms.join(document_frequency(wanted), "term").crossJoin(stats).select("query_id", "term", (F.col("qf") * idf(F.col("df"), F.col("passages")) * (K1 + 1)).alias("weight"), "mean_length")
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    return wanted.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, retain_zero: bool = False) -> DataFrame:
