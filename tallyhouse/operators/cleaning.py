@@ -105,3 +105,19 @@ def canonical_names(rows: DataFrame, aliases: DataFrame, name: str = "raw_name")
     target = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("conflicting alias: "), F.col("_key"))).cast("string")).otherwise(F.col("_to"))
     joined = rows.join(merges, F.lower(F.trim(rows[name])) == merges["_key"], "left")
     return joined.withColumn("canonical_name", F.coalesce(target, F.col(name))).withColumn("alias_applied", F.col("_to").isNotNull()).drop("_key", "_to", "_n")
+
+
+def alias_evidence(rows: DataFrame, name: str, same: list[str], least: int = 10, coverage: float = 0.5, high: float = 0.8) -> DataFrame:
+    """name_a, name_b, pairs, coverage, high: pairs of names that stand on rows which are otherwise alike, nulls included.
+
+    pairs counts the different rows that both have, coverage is their share of the rarer name's rows;
+    pairs below `least` or `coverage` are left out. A row's names are gathered once each, so pairs are
+    bounded by the names that one row can have.
+    """
+    names = rows.groupBy(*same).agg(F.array_sort(F.collect_set(name)).alias("x")).where(F.size("x") > 1)
+    both = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda b: F.struct(a.alias("name_a"), b.alias("name_b")))))
+    pairs = names.select(F.explode(both).alias("p")).groupBy("p.name_a", "p.name_b").agg(F.count("*").alias("pairs"))
+    n = rows.groupBy(name).agg(F.count("*").alias("n"))
+    out = pairs.join(n.select(F.col(name).alias("name_a"), F.col("n").alias("na")), "name_a").join(n.select(F.col(name).alias("name_b"), F.col("n").alias("nb")), "name_b")
+    out = out.withColumn("coverage", F.col("pairs") / F.least("na", "nb")).where((F.col("pairs") >= least) & (F.col("coverage") >= coverage))
+    return out.select("name_a", "name_b", "pairs", "coverage", (F.col("coverage") >= high).alias("high"))

@@ -77,3 +77,18 @@ def group_lookup(sets: DataFrame, label: str, members: list[str]) -> DataFrame:
     once = once.withColumn("set_id", F.when(F.col("n") > 1, F.raise_error(F.lit("one set id with two contents")).cast("string")).otherwise(F.col("set_id"))).select("set_id", "r.*")
     shared = once.groupBy(*values).agg(F.count_distinct("exercise_name").alias("names")).agg(F.count_if(F.col("names") > 1).alias("overlap"))
     return once.withColumn("stored_name", F.col("exercise_name")).withColumn("exercise_name", F.lit(label)).crossJoin(F.broadcast(shared))  # one row
+
+
+def of_version(rows: DataFrame, version: str, column: str = "preprocessing_version") -> DataFrame:
+    """Rows that one version of the preprocessing made; a condition on a stored column, so a scan skips other versions' files. A null version is none."""
+    return rows.where(F.col(column) == F.lit(version))
+
+
+def group_union(sets: DataFrame, members: list[str], by: str = "exercise_name") -> DataFrame:
+    """The members' sets, each once, with place: its number in the order of time, session, place in it and id.
+
+    What a group of exercises has within the rows given is one ordered answer, as long as the filter
+    before it makes it.
+    """
+    rows = sets.where(F.col(by).isin(*members)).dropDuplicates(["set_id"])
+    return rows.withColumn("place", F.row_number().over(W.Window.orderBy("started_at", "session_id", "set_order", "set_id")))

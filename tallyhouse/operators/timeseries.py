@@ -17,6 +17,14 @@ def filled_weeks(rows: DataFrame, by: str, week: str = "week", step: str = "INTE
     return every.join(rows, [by, week], "left")
 
 
+def weekly_metrics(sets: DataFrame, by: str) -> DataFrame:
+    """by, week, sets, reps, volume (summed exactly, as decimals), sessions: eligible sets of each week from a group's first to its last, weeks without any as zero."""
+    rows = sets.where("in_volume").groupBy(by, week_of("started_at").alias("week")).agg(F.count("*").alias("sets"), F.sum(F.col("reps").cast("long")).alias("reps"), F.sum((F.col("weight") * F.col("reps")).cast("decimal(18,6)")).alias("volume"), F.count_distinct("session_id").alias("sessions"))
+    filled = filled_weeks(rows, by)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast(filled.schema[c].dataType)).alias(c)
+    return filled.select(by, "week", *[zero(c) for c in ("sets", "reps", "volume", "sessions")])
+
+
 def rolling_mean(value: str, by: str, order: str, rows: int = 4) -> Column:
     """Mean of a row and the rows - 1 before it, however few there are."""
     return F.avg(value).over(W.Window.partitionBy(by).orderBy(order).rowsBetween(1 - rows, 0))
