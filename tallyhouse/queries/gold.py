@@ -68,7 +68,7 @@ actual AS (
 """
 
 
-@query("E19_recomputed_gold", CASES + """SELECT a.case_id, replace(f.fullkey, '$', '') AS path, round(CASE WHEN f.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN f.atom::DOUBLE END, 3) AS number, CASE WHEN f.type IN ('VARCHAR', 'BOOLEAN') THEN json_extract_string(f.atom, '$') END AS text
+@query("E19_recomputed_gold", CASES + """SELECT a.case_id, replace(f.fullkey, '$', '') AS path, round(CASE WHEN f.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN f.atom::DOUBLE END, 6) AS number, CASE WHEN f.type IN ('VARCHAR', 'BOOLEAN') THEN json_extract_string(f.atom, '$') END AS text
 FROM actual a, json_tree(a.j) f WHERE f.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""")
 def recomputed(spark: SparkSession, folder: str) -> DataFrame:
     """Every single value of all ten operations' results, all cases planned once."""
@@ -76,7 +76,7 @@ def recomputed(spark: SparkSession, folder: str) -> DataFrame:
     made = gold.recomputed(written(cases(sets), "cases"), sets, lineage(spark, folder))
     leaves = gold.flattened(made.where("error IS NULL"), "case_id", "actual", "").where("kind NOT IN ('object', 'array')")
     plain = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit("["), "text", F.lit("]")), "$[0]")).when(F.col("kind") == "boolean", F.col("text"))
-    return leaves.select(F.col("case").alias("case_id"), "path", F.round("number", 3).alias("number"), plain.alias("text"))
+    return leaves.select(F.col("case").alias("case_id"), "path", F.round("number", 6).alias("number"), plain.alias("text"))
 
 
 @query("E19_F34_gold_problems", CASES + """SELECT a.case_id, p.path, p.problem FROM actual a, (VALUES ('e1rm_window_summary/', '2', 'expected.eligible_sessions', 'value'), ('e1rm_peak_and_latest/', '3', 'expected.unknown', 'missing'),
