@@ -61,10 +61,10 @@ least AS (SELECT case_id, (SELECT min(bit_count(m)) FROM masks WHERE len(list_fi
 """
 
 
-@query("X7_least_chunks", GROUPS + "SELECT case_id, CAST(least AS INT) AS least FROM least")
+@query("X7_least_chunks", GROUPS + "SELECT case_id, CAST(coalesce(least, -1) AS INT) AS least FROM least")
 def least_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The fewest chunks that meet each user's groups, if they fit into the places of a search."""
-    return datasets.least_chunks(gold_groups(spark, folder), "case_id", PLACES)
+    """The fewest chunks that meet each user's groups, or -1 where they don't fit into the places of a search."""
+    return datasets.least_chunks(gold_groups(spark, folder), "case_id", PLACES).withColumn("least", F.coalesce("least", F.lit(-1)))
 
 
 @query("X7_dataset_checks", GROUPS + f"""SELECT 'infeasible' AS "check", count(*)::BIGINT AS wrong, count(*) = 0 AS ok FROM least WHERE least IS NULL
