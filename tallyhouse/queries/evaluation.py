@@ -109,7 +109,8 @@ a AS (SELECT e.query_id, coalesce(1.0::DOUBLE / min(rank), 0) AS v FROM e LEFT J
 SELECT CASE WHEN abs(b.v - a.v) <= 1e-12 THEN 'unchanged' WHEN b.v > a.v THEN 'improved' ELSE 'worsened' END AS change, count(*)::BIGINT AS cases FROM a JOIN b USING (query_id) GROUP BY 1""")
 def metric_changes(spark: SparkSession, folder: str) -> DataFrame:
     gold = gold_groups(spark, folder)
-    a, b = (evaluation.retrieval_metrics(gold, hits, 10) for hits in (lexical(spark, folder, 10), hybrid(spark, folder)))
+    found = lexical(spark, folder)
+    a, b = (evaluation.retrieval_metrics(gold, hits, 10) for hits in (found.where(F.col("rank") <= 10), hybrid(spark, folder, found)))
     return evaluation.metric_changes(a, b, "reciprocal_rank")
 
 

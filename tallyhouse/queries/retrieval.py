@@ -54,8 +54,9 @@ def dense(spark: SparkSession, folder: str, k: int = 50) -> DataFrame:
     return retrieval.exact_cosine(asked_vectors(spark, folder), vectors(spark, folder), k)
 
 
-def hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.rrf(dense(spark, folder), lexical(spark, folder), 10)
+def hybrid(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
+    """found: the first 50 of lexical(), where they are there already."""
+    return retrieval.rrf(dense(spark, folder), lexical(spark, folder) if found is None else found, 10)
 
 
 @query("F12_tokens", f"SELECT doc_id, len({WORDS})::INT AS n, array_to_string({WORDS}, ' ') AS tokens FROM documents")
