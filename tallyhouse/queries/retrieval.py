@@ -110,7 +110,8 @@ s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + x), 0) + coalesce(1.0::DOUBLE / (60
 SELECT query_id, chunk_id, rank::INT AS rank, round(score, 9) AS score, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 'both_retrievals' WHEN x IS NOT NULL THEN 'initial_only' ELSE 'recovery_only' END AS reason
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(coalesce(x, missing), coalesce(y, missing)), coalesce(x, missing) + coalesce(y, missing), chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def recovery(spark: SparkSession, folder: str) -> DataFrame:
-    rows = retrieval.recovery_fusion(hybrid(spark, folder), lexical(spark, folder, 10))
+    found = lexical(spark, folder)
+    rows = retrieval.recovery_fusion(hybrid(spark, folder, found), found.where(F.col("rank") <= 10))
     return rows.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), "reason")
 
 

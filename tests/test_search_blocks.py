@@ -47,7 +47,7 @@ def common(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("common"), [(k, said(6), f"s{k % 40}") for k in range(DOCS)], [(k, said(3)) for k in range(ASKED)])
 
 
-@pytest.mark.parametrize("name", ["R2_bm25_retain_zero", "E7_metric_changes"])
+@pytest.mark.parametrize("name", ["R2_bm25_retain_zero", "E7_metric_changes", "R6_recovery_fusion"])
 def test_pairs_of_questions_and_passages_are_not_shuffled(spark, common, name):
     before = shuffled(spark)
     same(spark, common, name)
