@@ -127,8 +127,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY sco
 SELECT query_id, parent_id, chunk_id AS best_child, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c WHERE nth = 1) WHERE rank <= 5""")
 def all_parents(spark: SparkSession, folder: str) -> DataFrame:
     """The first parents over all children that match, where R8_W13_parents has those of a fixed pool of children."""
-    rows = chunks(spark, folder)
-    scores = retrieval.bm25_scores(questions(spark, folder), rows).join(rows.select("chunk_id", F.col("paper_id").alias("parent_id")), "chunk_id")
+    scores = retrieval.best_scores(questions(spark, folder), chunks(spark, folder), 5, "paper_id")
     return retrieval.best_parents(scores, 5).select("query_id", "parent_id", "best_child", F.round("score", 6).alias("score"), "rank")
 
 

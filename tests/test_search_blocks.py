@@ -47,14 +47,14 @@ def common(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("common"), [(k, said(6), f"s{k % 40}") for k in range(DOCS)], [(k, said(3)) for k in range(ASKED)])
 
 
-@pytest.mark.parametrize("name", ["R2_bm25_retain_zero", "E7_metric_changes", "R6_recovery_fusion"])
+@pytest.mark.parametrize("name", ["R2_bm25_retain_zero", "E7_metric_changes", "R6_recovery_fusion", "R8_W14_all_parents"])
 def test_pairs_of_questions_and_passages_are_not_shuffled(spark, common, name):
     before = shuffled(spark)
     same(spark, common, name)
     assert shuffled(spark) - before < DOCS * ASKED / 2
 
 
-@pytest.mark.parametrize("name", ["R2_bm25_positive_only", "R2_bm25_retain_zero"])
+@pytest.mark.parametrize("name", ["R2_bm25_positive_only", "R2_bm25_retain_zero", "R8_W14_all_parents"])
 def test_blocks_of_any_size_with_null_and_empty_texts_and_ties(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(retrieval, "BLOCK_TERMS", 5)
     monkeypatch.setattr(retrieval, "BLOCK_POSTINGS", 40)
@@ -71,6 +71,11 @@ def test_rows_of_one_id_are_one_passage(spark, tmp_path, name):
     same(spark, tables(spark, tmp_path, texts, [(0, "a b1"), (1, "x y"), (2, "c7 a b0")]), name)
 
 
+def test_texts_of_one_id_count_for_each_parent(spark, tmp_path):
+    texts = [(6, "x x", "p"), (5, "x b", "p"), (5, "c b", "q"), (7, "c c", "r"), (8, "x c", "r")]
+    same(spark, tables(spark, tmp_path, texts, [(0, "x"), (1, "none")]), "R8_W14_all_parents")
+
+
 def test_more_terms_than_are_sent(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"k{k}", f"term{k % 3} common word{k}") for k in range(30)], "chunk_id string, text string")
     asked = spark.createDataFrame([(1, "term1 common"), (2, "word7 none")], "query_id long, text string")
